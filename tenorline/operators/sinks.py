@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenorline.catalog import empty_frame
 from tenorline.operators.dedupe import last_write_wins
+from tenorline.operators.joins import salted_join
 from tenorline.schemas import TABLES, conform
 
 VERSION = "v="
@@ -34,8 +35,8 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], preserve: tuple
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows without those whose key occurs in the batch, plus the batch; an empty batch removes nothing."""
-    return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(
-        new.select(*existing.columns))
+    kept = salted_join(existing, new.select(*keys).distinct(), keys, "left_anti")
+    return kept.select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
 def append(existing: DataFrame, new: DataFrame) -> DataFrame:

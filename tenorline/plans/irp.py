@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from tenorline.functions.numbers import py_round
+from tenorline.operators.joins import salted_join
 from tenorline.operators.series import latest
 from tenorline.schemas import AVAILABILITY, IRP_SNAPSHOTS, conform
 
@@ -26,11 +27,12 @@ class IrpResult(NamedTuple):
 def tenor_inputs(staging: DataFrame, tenors: DataFrame) -> DataFrame:
     """Latest spot, base rate and quote rate of every configured tenor, null where absent.
 
-    The configuration is turned long, so one join on the series serves the three roles.
+    The configuration is turned long, so one join on the series serves the three roles. One rate may serve
+    most pairs, hence the salted join.
     """
     by_role = tenors.select("pair_key", "tenor", "tenor_fraction", F.inline(F.array(*[
         F.struct(F.lit(role).alias("role"), F.col(f"{role}_series").alias("series_id")) for role in ROLES])))
-    rows = by_role.join(latest(staging), "series_id", "left").withColumn(
+    rows = salted_join(by_role, latest(staging), ["series_id"], "left").withColumn(
         "row", F.struct("series_id", "numeric_value", "observation_date", "source_url"))
     return rows.groupBy("pair_key", "tenor", "tenor_fraction").agg(*[
         F.first(F.when(F.col("role") == role, F.col("row")), ignorenulls=True).alias(role) for role in ROLES])

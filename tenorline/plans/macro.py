@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenorline.functions.numbers import py_round
+from tenorline.operators.joins import salted_join
 from tenorline.operators.series import series_facts
 from tenorline.schemas import REFERENCE_METRICS, TAYLOR, conform
 
@@ -42,7 +43,7 @@ def inflation_rate(value: Column, unit: Column, yoy_pct: Column) -> Column:
 def region_facts(staging: DataFrame, roles: DataFrame) -> DataFrame:
     """One row per region with one struct of series facts per role."""
     facts = series_facts(staging)
-    matched = roles.join(facts, "series_id", "left").withColumn("fact", F.struct(
+    matched = salted_join(roles, facts, ["series_id"], "left").withColumn("fact", F.struct(
         "series_id", "less_headline", *[name for name in facts.columns if name != "series_id"]))
     return matched.groupBy("region").agg(*[
         F.first(F.when(F.col("role") == role, F.col("fact")), ignorenulls=True).alias(role) for role in ROLES])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tenorline.functions.dates import month_number, month_start
 from tenorline.functions.numbers import percent_change, py_round
 from tenorline.operators.dedupe import last_write_wins
+from tenorline.operators.joins import salted_join
 from tenorline.operators.runs import with_anchors
 from tenorline.schemas import AVAILABILITY, PPP_PATHS, PPP_SNAPSHOTS, TABLES, conform
 
@@ -40,7 +41,8 @@ def monthly_inputs(staging: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per pair and month in which spot and both price indices exist.
 
     Spot is the last valid row of the month; index rows count only on the first of a month. Series are
-    collapsed to months before they meet the pairs, so high-frequency spot data never reaches the join.
+    collapsed to months before they meet the pairs, so high-frequency spot data never reaches the join. One index may serve
+    most pairs, hence the salted join.
     """
     roles = pairs.select("pair_key", F.inline(F.array(*[
         F.struct(F.lit(role).alias("role"), F.col(f"{role}_series").alias("series_id"))
@@ -55,7 +57,7 @@ def monthly_inputs(staging: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     chosen = F.when(F.col("role") == "spot", F.struct("last.numeric_value", "last.source_url", "last.note")).otherwise(F.col("first"))
     by_pair = (
-        roles.join(monthly, "series_id").withColumn("row", chosen).where(F.col("row").isNotNull())
+        salted_join(roles, monthly, ["series_id"]).withColumn("row", chosen).where(F.col("row").isNotNull())
         .groupBy("pair_key", "month_no")
         .agg(*[F.first(F.when(F.col("role") == role, F.col("row")), ignorenulls=True).alias(role)
                for role in ("spot", "home", "foreign")])
