@@ -13,24 +13,22 @@ def iso_date(text: Column) -> Column:
 def period_start(raw: Column, frequency: Column) -> Column:
     """First day of the period a raw date text falls in; null if the text is no date.
 
-    Quarter labels win over the frequency; a daily (or unknown) frequency keeps the day.
+    Quarter labels win over the frequency; a daily (or unknown) frequency keeps the day. The text is first
+    completed to a full date by cheap string operations, so each row is matched and cast once.
     """
-    quarter = F.regexp_extract(raw, r"^\d{4}-Q([1-4])$", 1)
-    quarter_day = F.when(
-        quarter != "",
-        F.concat(F.left(raw, F.lit(4)), F.lit("-"), F.lpad((quarter.cast("int") * 3 - 2).cast("string"), 2, "0"),
-                 F.lit("-01")),
-    )
-    full = F.when(F.length(raw) == 7, F.concat(raw, F.lit("-01"))).otherwise(raw)
-    day = iso_date(full)
-    compact = F.when(raw.rlike(r"^\d{8}$"), iso_date(F.regexp_replace(raw, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
-    return (
-        F.when(raw.rlike(r"^.{4}-Q.$"), iso_date(quarter_day))
-        .when(frequency == "annual", iso_date(F.concat(F.left(raw, F.lit(4)), F.lit("-01-01"))))
-        .when(frequency == "quarterly", F.trunc(day, "QUARTER"))
-        .when(frequency == "monthly", F.trunc(day, "MM"))
-        .otherwise(F.coalesce(day, compact))
-    )
+    year, size = F.left(raw, F.lit(4)), F.length(raw)
+    quarter = F.substring(raw, 7, 1)
+    quarter_day = (F.when(quarter == "1", "-01-01").when(quarter == "2", "-04-01").when(quarter == "3", "-07-01")
+                   .when(quarter == "4", "-10-01"))
+    coarse = frequency.isin("monthly", "quarterly")
+    full = (
+        F.when((size == 7) & (F.substring(raw, 5, 2) == "-Q"), F.concat(year, quarter_day))
+        .when(frequency == "annual", F.concat(year, F.lit("-01-01")))
+        .when(size == 7, F.concat(raw, F.lit("-01")))
+        .when((size == 8) & ~coarse, F.concat(year, F.lit("-"), F.substring(raw, 5, 2), F.lit("-"), F.substring(raw, 7, 2)))
+        .otherwise(raw))
+    unit = F.when(frequency == "quarterly", "QUARTER").when(frequency == "monthly", "MONTH").otherwise("DAY")
+    return F.to_date(F.call_function("date_trunc", unit, iso_date(full)))
 
 
 def request_period(day: Column, frequency: Column) -> Column:

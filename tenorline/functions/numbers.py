@@ -13,24 +13,24 @@ _NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def finite(x: Column) -> Column:
-    """``x`` where it is a finite number, else null."""
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+    """``x`` where it is a finite number, else null (NaN sorts above infinity)."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def safe_double(text: Column, keep_non_finite: bool = False) -> Column:
-    """Strict text to double; null for anything that is not a number."""
+    """Strict text to double; null for anything that is not a number.
+
+    Each row is matched and cast once. A number too large for a double becomes infinity.
+    """
     trimmed = F.trim(text)
-    number = F.when(trimmed.rlike(_NUMBER), F.regexp_replace(trimmed, "_", "").try_cast("double"))
-    if keep_non_finite:
-        return F.when(trimmed.rlike(_NON_FINITE), trimmed.try_cast("double")).otherwise(number)
-    return finite(number)
+    number = F.when(trimmed.rlike(_NUMBER), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.coalesce(number, F.when(trimmed.rlike(_NON_FINITE), trimmed.try_cast("double"))) if keep_non_finite else number
 
 
 def lenient_double(text: Column) -> Column:
     """Longest numeric prefix after turning the first comma into a dot; null if there is none."""
     dotted = F.regexp_replace(text, r"^([^,]*),", "$1.")
-    prefix = F.regexp_extract(dotted, _NUMBER_PREFIX, 1)
-    return finite(F.when(prefix != "", prefix.try_cast("double")))
+    return finite(F.regexp_extract(dotted, _NUMBER_PREFIX, 1).try_cast("double"))
 
 
 def positive_double(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tenorline.functions.dates import month_number, month_start, period_months, period_start
-from tenorline.functions.numbers import safe_double
+from tenorline.functions.numbers import finite, safe_double
 from tenorline.schemas import LANDED, STAGING, conform_staging, require
 
 METADATA = ["category", "region", "frequency", "unit", "provider", "source_url"]
@@ -23,17 +23,17 @@ def stage_series(landed: DataFrame, on_bad_date: str = "raise", keep_non_finite:
     primitive buffers and combines before the shuffle, whatever the size of one series.
     """
     require(landed, LANDED.names, "landed observations")
-    number = safe_double(F.col("value"), keep_non_finite)
-    day = _observation_day(on_bad_date)
+    is_number = F.col("numeric_value").isNotNull() if keep_non_finite else finite(F.col("numeric_value")).isNotNull()
     typed = (
-        landed.select("series_id", *METADATA, "pos", "date", number.alias("numeric_value"))
-        .where(F.col("numeric_value").isNotNull())
-        .select("series_id", *METADATA, "pos", "numeric_value", day.alias("observation_date"))
-        .where(F.col("observation_date").isNotNull())
+        landed.select("series_id", *METADATA, "pos", "date", safe_double(F.col("value"), keep_non_finite).alias("numeric_value"))
+        # A date is only looked at where the value counts.
+        .withColumn("observation_date", F.when(is_number, _observation_day(on_bad_date)))
     )
+    # Rows that do not count have no order and so never win. Filtering them here would make the optimizer
+    # evaluate the parsing expressions twice, so the groups left without a winner are dropped afterwards.
     collapsed = typed.groupBy("series_id", "observation_date", *METADATA).agg(
-        F.max_by("numeric_value", "pos").alias("numeric_value"))
-    return conform_staging(collapsed)
+        F.max_by("numeric_value", F.when(F.col("observation_date").isNotNull(), F.col("pos"))).alias("numeric_value"))
+    return conform_staging(collapsed.where(F.col("numeric_value").isNotNull()))
 
 
 def raw_rows(landed: DataFrame, fetched_at: Column, on_bad_date: str = "raise") -> DataFrame:

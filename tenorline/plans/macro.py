@@ -127,7 +127,7 @@ def missing_inputs(staging: DataFrame, roles: DataFrame) -> DataFrame:
     no_growth = (F.col("role") == "gdp") & (F.col("yoy_current").isNull() | F.col("qoq_current").isNull())
     reason = (F.when(F.col("latest_date").isNull(), "no valid row").when(needs_year, "no year-ago row")
               .when(no_growth, "no growth rate"))
-    return (roles.join(facts, "series_id", "left").select("region", "role", "series_id", reason.alias("reason"))
+    return (salted_join(roles, facts, ["series_id"], "left").select("region", "role", "series_id", reason.alias("reason"))
             .where(F.col("reason").isNotNull()))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tenorline.functions.numbers import display_fixed, lenient_double
+from tenorline.operators.joins import salted_join
 from tenorline.plans.macro import rule_rate
 
 # Step and defaults of the interactive scenario (they differ from the batch defaults).
@@ -35,7 +36,7 @@ def taylor_scenarios(taylor: DataFrame, metrics: DataFrame, scenarios: DataFrame
     known = metrics.select("region", F.lit(True).alias("has_metrics"), "headline_inflation", "core_inflation")
     regions = taylor.select("region", "policy_rate", "inflation", "inflation_target").join(known, "region", "left")
     chosen = F.when(F.col("inflation_measure") == "core", F.col("core_inflation")).otherwise(F.col("headline_inflation"))
-    rated = scenarios.join(regions, "region").select(
+    rated = salted_join(scenarios, regions, ["region"]).select(
         "region", "inflation_measure", "neutral_rate", "slack_proxy", "policy_rate",
         rule_rate(lenient_double(F.col("neutral_rate")),
                   F.when(F.col("has_metrics"), chosen).otherwise(F.col("inflation")),

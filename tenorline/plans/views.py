@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tenorline.functions.numbers import finite, percent_change
 from tenorline.functions.text import source_name, tenor_rank
 from tenorline.operators.dedupe import distinct_references, distinct_urls
+from tenorline.operators.joins import salted_join
 from tenorline.operators.runs import LONGEST_RUN, WINDOW_YEARS
 
 # Window order and preference, labels, method codes.
@@ -46,7 +47,7 @@ def select_anchor(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.when(F.col("anchor_statistic") == "median", "median").otherwise("average").alias("anchor_statistic"))
     codes = F.coalesce(F.col("windows.code"), F.array().cast("array<string>"))
     years = F.coalesce(F.col("base_years"), F.array().cast("array<string>"))
-    chosen = parsed.join(anchor_options(snapshots), ["pair_key", "anchor_statistic"], "left").select(
+    chosen = salted_join(parsed, anchor_options(snapshots), ["pair_key", "anchor_statistic"], "left").select(
         "*",
         F.when(F.array_contains(years, F.col("wanted_year")), F.col("wanted_year")).otherwise(F.try_element_at(years, F.lit(-1))).alias("selected_base_year"),
         F.when(F.array_contains(codes, F.col("wanted_window")), F.col("wanted_window"))
@@ -74,7 +75,7 @@ def ppp_summary(selection: DataFrame, snapshots: DataFrame) -> DataFrame:
         "request_id", "pair_key", "anchor_statistic", F.col("selected_anchor_kind").alias("anchor_kind"),
         F.when(F.col("selected_anchor_kind") == "window", F.col("selected_window_code")).alias("wanted_window"),
         F.when(F.col("selected_anchor_kind") == "year", F.col("selected_base_year")).alias("wanted_year"))
-    matched = wanted.join(snapshots, ["pair_key", "anchor_statistic", "anchor_kind"]).where(
+    matched = salted_join(wanted, snapshots, ["pair_key", "anchor_statistic", "anchor_kind"]).where(
         F.col("anchor_window_code").eqNullSafe(F.col("wanted_window")) & F.col("base_year").eqNullSafe(F.col("wanted_year")))
     return matched.drop("wanted_window", "wanted_year").withColumn("anchor_label", anchor_label(
         F.col("anchor_kind"), F.col("anchor_statistic"), F.col("anchor_window_code"), F.col("anchor_years_covered"), F.col("base_year")))
@@ -82,12 +83,11 @@ def ppp_summary(selection: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def ppp_view_path(summary: DataFrame, paths: DataFrame) -> DataFrame:
     """Path rows of each request's snapshot; absent window codes and years match each other."""
-    plain, null_safe = ["pair_key", "base_month", "anchor_kind", "anchor_statistic"], ["anchor_window_code", "base_year"]
-    s = summary.select("request_id", *plain, *null_safe).alias("s")
-    p = paths.alias("p")
-    on = [F.col(f"s.{name}") == F.col(f"p.{name}") for name in plain]
-    on += [F.col(f"s.{name}").eqNullSafe(F.col(f"p.{name}")) for name in null_safe]
-    return s.join(p, on).select("request_id", "p.*")
+    plain = ["pair_key", "base_month", "anchor_kind", "anchor_statistic"]
+    # Neither column is ever empty text, so it can stand for null in an equality key.
+    keys = {f"_{name}": F.coalesce(name, F.lit("")) for name in ("anchor_window_code", "base_year")}
+    wanted = summary.select("request_id", *plain, *[value.alias(key) for key, value in keys.items()])
+    return salted_join(wanted, paths.withColumns(keys), [*plain, *keys]).select("request_id", *paths.columns)
 
 
 def spot_history(paths: DataFrame) -> DataFrame:

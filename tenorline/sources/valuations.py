@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenorline.functions.dates import epoch_day
-from tenorline.functions.numbers import safe_double
+from tenorline.functions.numbers import finite, safe_double
 from tenorline.functions.text import listing_symbol
 
 # Payload paths reported as missing, method codes, page address.
@@ -57,14 +57,15 @@ def quote_summary_snapshots(payloads: DataFrame, run_date: Column) -> DataFrame:
             "dividend_yield_1": "summaryDetail.dividendYield", "market_time": "price.regularMarketTime",
         }.items()])
     dividend = F.col("dividend_yield")
-    values = modules.select(
-        "*",
-        raw_number(_first_truthy("trailing_pe_1", "trailing_pe_2")).alias("trailing_pe"),
-        raw_number(F.col("price_to_book_1")).alias("price_to_book"),
-        raw_number(_first_truthy("price_to_sales_1", "price_to_sales_2")).alias("price_to_sales"),
-        raw_number(F.col("price_to_cash_flow_1")).alias("price_to_cash_flow"),
-        raw_number(F.col("dividend_yield_1")).alias("dividend_yield"),
-        raw_number(F.col("market_time")).alias("market_seconds"),
+    # One step per stage of a figure keeps each parsed value from being evaluated again by the next.
+    picked = modules.select(
+        "external_symbol", "doc", "result", "price", _first_truthy("trailing_pe_1", "trailing_pe_2").alias("trailing_pe"),
+        F.col("price_to_book_1").alias("price_to_book"), _first_truthy("price_to_sales_1", "price_to_sales_2").alias("price_to_sales"),
+        F.col("price_to_cash_flow_1").alias("price_to_cash_flow"), F.col("dividend_yield_1").alias("dividend_yield"), "market_time")
+    figures = ["trailing_pe", "price_to_book", "price_to_sales", "price_to_cash_flow", "dividend_yield", "market_time"]
+    scalars = picked.select("external_symbol", "doc", "result", "price", *[raw_scalar(F.col(name)).alias(name) for name in figures])
+    values = scalars.select(
+        "external_symbol", "doc", "result", "price", *[plain_number(F.col(name)).alias(name) for name in figures],
     ).withColumn("dividend_yield_pct", F.when(dividend < 1, dividend * 100).otherwise(dividend))
     symbol = listing_symbol(F.col("external_symbol"))
     is_object = F.schema_of_variant("result").startswith("OBJECT")
@@ -80,7 +81,7 @@ def quote_summary_snapshots(payloads: DataFrame, run_date: Column) -> DataFrame:
             "price_to_cash_flow_method"),
         F.lit(FREE_CASH_FLOW_UNAVAILABLE).alias("price_to_free_cash_flow_method"),
         _missing(QUOTE_PATHS).alias("missing_fields"), F.concat(F.lit(QUOTE_ADDRESS), symbol).alias("source_url"),
-        F.coalesce(epoch_day(F.col("market_seconds")), run_date.cast("date")).alias("as_of"),
+        F.coalesce(epoch_day(F.col("market_time")), run_date.cast("date")).alias("as_of"),
         F.when(F.col("doc").isNull(), "parse_error").when(failed, "fetch_error").alias("error_type"),
         F.when(F.col("doc").isNull(), BAD_JSON).when(failed, NO_RESULT).alias("message"))
 
@@ -108,13 +109,12 @@ def plain_number(value: Column) -> Column:
     """Number of a JSON scalar: a number, a numeric text or a boolean; null for anything else."""
     text = F.try_variant_get(value, "$", "string")
     return (F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-            .otherwise(safe_double(text)))
+            .otherwise(finite(safe_double(text))))
 
 
-def raw_number(value: Column) -> Column:
-    """Number of a JSON scalar or of the ``raw`` member of a ``{raw, fmt}`` object."""
-    return (F.when(F.schema_of_variant(value).startswith("OBJECT"), plain_number(F.try_variant_get(value, "$.raw", "variant")))
-            .otherwise(plain_number(value)))
+def raw_scalar(value: Column) -> Column:
+    """The ``raw`` member of a ``{raw, fmt}`` object; any other value as it is."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.raw", "variant")).otherwise(value)
 
 
 def truthy(value: Column) -> Column:

@@ -15,15 +15,16 @@ POS = F.col("l_orderkey") * 10 + F.col("l_linenumber")
 SQL_POS = "(l_orderkey * 10 + l_linenumber)"
 
 
-def landed_items(spark, sf_dir):
+def landed_items(spark, sf_dir, items=None):
     """Every line item as a landed observation of its part: a day, a value text, some texts that are no number."""
-    price = F.format_string("%.2f", "l_extendedprice")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     value = (F.when(F.col("l_linenumber") == 7, ".").when(F.col("l_orderkey") % 13 == 0, F.concat(F.lit(" "), price, F.lit(" ")))
              .when(F.col("l_orderkey") % 17 == 0, F.concat(price, F.lit("d"))).otherwise(price))
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     kind = F.col("l_partkey") % 4
     quarter = F.concat(F.date_format("l_shipdate", "yyyy"), F.lit("-Q"), F.quarter("l_shipdate").cast("string"))
-    return conform(a.table(spark, sf_dir, "lineitem").select(
+    items = a.table(spark, sf_dir, "lineitem") if items is None else items
+    return conform(items.select(
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"),
         F.when(kind == 0, "monthly").when(kind == 1, "quarterly").when(kind == 2, "annual").otherwise("daily").alias("frequency"),
         F.lit("price").alias("category"), F.lit("ALL").alias("region"), F.lit("level").alias("unit"), F.lit("lineitem").alias("provider"),
