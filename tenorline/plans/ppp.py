@@ -85,10 +85,17 @@ def anchored_months(monthly: DataFrame) -> DataFrame:
         "*", in_anchor.alias("in_anchor"),
         F.avg(eligible).over(running).alias("running_average"),
         F.percentile(eligible, F.lit(0.5)).over(running).alias("running_median"))
-    return measured_months.select(
+
+    def implied(statistic: str):
+        # A statistic that is the month's own base scales back to the spot itself; going through the ratio
+        # could miss it by one unit in the last place and flip a rounding tie.
+        own = F.col("in_anchor") & (F.col(statistic) == F.col("base_value"))
+        return F.when(own, F.col("spot")).otherwise(F.col(statistic) * F.col("ratio"))
+
+    scaled = measured_months.withColumns({f"implied_{statistic}": implied(f"running_{statistic}") for statistic in STATISTICS})
+    return scaled.select(
         *months.columns, "in_anchor", py_round(F.col("spot"), 4).alias("actual_spot"),
-        *[py_round(F.col(f"running_{statistic}") * F.col("ratio"), 4).alias(f"implied_{statistic}")
-          for statistic in STATISTICS])
+        *[py_round(F.col(f"implied_{statistic}"), 4).alias(f"implied_{statistic}") for statistic in STATISTICS])
 
 
 def ppp_paths(anchored: DataFrame) -> DataFrame:

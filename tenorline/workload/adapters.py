@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_sum(x: str) -> Column:
-    """Sum that does not depend on the order of the rows."""
-    return F.sum(F.col(x).cast("decimal(18,2)")).cast("double")
+    """Sum of two-decimal figures that does not depend on the order of the rows: whole cents in a long."""
+    return F.sum(F.rint(F.col(x) * 100).cast("bigint")).cast("double") / 100
 
 
 def exact_mean(x: str) -> Column:

@@ -12,7 +12,7 @@ from tenorline.operators.staging import stage_series
 from tenorline.session import checkpoint_root
 from tenorline.sources import observations as obs
 from tenorline.workload import adapters as a
-from tenorline.workload.series import SQL_PERIOD, SQL_POS, landed_items
+from tenorline.workload.series import POS, SQL_PERIOD, SQL_POS, landed_items
 
 K = F.col("o_orderkey")
 DAY = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -65,7 +65,7 @@ def request_window(spark, sf_dir):
         F.concat(F.lit("part-"), k.cast("string")).alias("series_id"), F.when(k % 2 == 0, "1997-06-15").alias("start_date"), F.when(k % 3 == 0, "2000-03-31").alias("end_date"),
         F.when(k % 4 == 1, 5).when(k % 4 == 2, 3).alias("max_rows"), F.when(k % 4 == 1, "first").otherwise("last").alias("keep"))
     rows = a.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"), POS.alias("pos"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_extendedprice").alias("value"))
     return obs.request_window(rows, windows)
 
@@ -141,9 +141,9 @@ ORACLES = {
     "parallel_array_errors": f"""
         SELECT {_ID}, FALSE AS ok, 'fetch_error' AS error_type, 'No series docs returned for order-' || CAST(o_orderkey AS VARCHAR) AS message FROM orders WHERE o_orderkey % 10 <= 1""",
     "csv_observations": f"SELECT {_ID}, 1::BIGINT AS pos, {_DAY} AS date, {_PRICE} AS value FROM orders",
-    "request_window": """
+    "request_window": f"""
         WITH r AS (
-            SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS pos, strftime(l_shipdate, '%Y-%m-%d') AS date, l_extendedprice AS value FROM lineitem
+            SELECT l_partkey AS k, {SQL_POS} AS pos, strftime(l_shipdate, '%Y-%m-%d') AS date, l_extendedprice AS value FROM lineitem
             WHERE (l_partkey % 2 <> 0 OR l_shipdate >= TIMESTAMP '1997-06-15') AND (l_partkey % 3 <> 0 OR l_shipdate < TIMESTAMP '2000-04-01')),
         n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS up, row_number() OVER (PARTITION BY k ORDER BY pos DESC) AS down FROM r)
         SELECT 'part-' || CAST(k AS VARCHAR) AS series_id, pos, date, value FROM n WHERE k % 4 IN (0, 3) OR (k % 4 = 1 AND up <= 5) OR (k % 4 = 2 AND down <= 3)""",

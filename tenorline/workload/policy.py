@@ -158,7 +158,7 @@ ORACLES = {
                                                        THEN sign(policy_rate - implied) * 0.001 ELSE 0 END AS g2 FROM rated)
         SELECT region, inflation_measure, printf('%.2f', neutral::DOUBLE) AS neutral_rate, printf('%.2f', slack::DOUBLE) AS slack_proxy,
                printf('%.2f', i2) AS implied_rate, printf('%.2f', g2) AS policy_gap,
-               CASE WHEN CAST(printf('%.2f', g2) AS DOUBLE) >= 0 THEN 'tighter' ELSE 'easier' END AS stance,
+               CASE WHEN CAST(printf('%.2f', g2) AS DOUBLE) >= 0 THEN 'tighter' WHEN g2 IS NOT NULL THEN 'easier' END AS stance,
                printf('%.2f', abs(CAST(printf('%.2f', g2) AS DOUBLE))) AS distance
         FROM nudged""",
     "scenario_overrides": """

@@ -11,8 +11,9 @@ from tenorline.schemas import LANDED, conform, conform_staging
 from tenorline.workload import adapters as a
 from tenorline.workload.adapters import sql_month, sql_month_no, sql_round
 
-POS = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-SQL_POS = "(l_orderkey * 10 + l_linenumber)"
+# Line numbers repeat within an order, so the quantity takes part in the listing position.
+POS = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("bigint")
+SQL_POS = "(l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT))"
 
 
 def landed_items(spark, sf_dir, items=None):
