@@ -27,16 +27,26 @@ def safe_double(text: Column, keep_non_finite: bool = False) -> Column:
     return F.coalesce(number, F.when(trimmed.rlike(_NON_FINITE), trimmed.try_cast("double"))) if keep_non_finite else number
 
 
+def number_prefix(text: Column) -> Column:
+    """Longest numeric prefix after turning the first comma into a dot; null if there is none, infinite on overflow."""
+    # Most texts are empty or plain, so the patterns run only where they can matter.
+    dotted = F.when(text.contains(","), F.regexp_replace(text, r"^([^,]*),", "$1.")).otherwise(text)
+    return F.when(text != "", F.regexp_extract(dotted, _NUMBER_PREFIX, 1).try_cast("double"))
+
+
 def lenient_double(text: Column) -> Column:
-    """Longest numeric prefix after turning the first comma into a dot; null if there is none."""
-    dotted = F.regexp_replace(text, r"^([^,]*),", "$1.")
-    return finite(F.regexp_extract(dotted, _NUMBER_PREFIX, 1).try_cast("double"))
+    """``number_prefix`` where it is finite, else null."""
+    return finite(number_prefix(text))
+
+
+def positive(x: Column) -> Column:
+    """``x`` where it is finite and above zero, else null."""
+    return F.when((x > 0) & (x < F.lit(float("inf"))), x)
 
 
 def positive_double(text: Column) -> Column:
-    """``lenient_double`` where it is above zero, else null."""
-    value = lenient_double(text)
-    return F.when(value > 0, value)
+    """``number_prefix`` where it is finite and above zero, else null."""
+    return positive(number_prefix(text))
 
 
 def fixed_text(x: Column, digits: int) -> Column:
@@ -52,7 +62,7 @@ def py_round(x: Column, digits: int) -> Column:
     """
     scale = float(10 ** digits)
     scaled = x * F.lit(scale)
-    clear_of_tie = F.abs(F.abs(scaled - F.rint(scaled)) - F.lit(0.5)) > F.lit(1e-4)
+    clear_of_tie = F.abs(F.abs(scaled) % 1.0 - F.lit(0.5)) > F.lit(1e-4)
     exact = F.call_function("format_number", x, F.lit(_pattern(digits))).try_cast("double")
     rounded = F.when((F.abs(scaled) < F.lit(1e9)) & clear_of_tie, F.rint(scaled) / F.lit(scale)).otherwise(exact)
     return rounded + F.lit(0.0)
@@ -61,18 +71,17 @@ def py_round(x: Column, digits: int) -> Column:
 def display_fixed(x: Column, digits: int) -> Column:
     """Fixed-precision text with exact binary ties going away from zero (screen and export rule)."""
     # A value ties at `digits` decimals only if it is an odd multiple of 2**-(digits + 1).
-    halves = x * F.lit(float(2 ** (digits + 1)))
-    tie = (halves == F.rint(halves)) & (halves / 2 != F.rint(halves / 2))
-    nudged = F.when(tie, x + F.signum(x) * F.lit(10.0 ** -(digits + 1))).otherwise(x) + F.lit(0.0)
-    return F.call_function("format_number", nudged, F.lit(_pattern(digits)))
+    tie = F.abs(x) * F.lit(float(2 ** (digits + 1))) % 2.0 == 1.0
+    nudge = F.when(tie, F.signum(x) * F.lit(10.0 ** -(digits + 1))).otherwise(F.lit(0.0))
+    return F.call_function("format_number", x + nudge, F.lit(_pattern(digits)))
 
 
 def display_percent(x: Column) -> Column:
-    return F.coalesce(F.concat(display_fixed(finite(x), 2), F.lit("%")), F.lit("N/A"))
+    return F.when(F.abs(x) < F.lit(float("inf")), F.concat(display_fixed(x, 2), F.lit("%"))).otherwise("N/A")
 
 
 def display_multiple(x: Column) -> Column:
-    return F.coalesce(F.concat(display_fixed(finite(x), 1), F.lit("x")), F.lit("N/A"))
+    return F.when(F.abs(x) < F.lit(float("inf")), F.concat(display_fixed(x, 1), F.lit("x"))).otherwise("N/A")
 
 
 def percent_change(current: Column, base: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenorline.functions import histories
-from tenorline.functions.numbers import display_multiple, display_percent, finite, lenient_double, positive_double
+from tenorline.functions.numbers import display_multiple, display_percent, finite, number_prefix, positive
 
 _GROWTH = "mode: STRING, directPct: STRING, years: STRING, historicalValues: ARRAY<STRING>"
 # Every field any version of the saved state has used.
@@ -112,32 +112,48 @@ def normalise_states(analyses: DataFrame, state: str = "state_json") -> DataFram
     return s.select(*[name for name in analyses.columns if name != state], *columns)
 
 
-def market_cap() -> Column:
-    shares, price = positive_double(F.col("shares_outstanding")), positive_double(F.col("common_share_price"))
-    return F.when(F.col("market_cap_mode") == "shares", shares * price).otherwise(positive_double(F.col("market_cap")))
+# Text columns of a normalised state that hold one figure, or a history of figures.
+FIGURES = ["market_cap", "shares_outstanding", "common_share_price", "pe_ratio", "net_income", "dividend_yield_pct_text", "annual_dividend_per_share",
+           "dividend_share_price", "dividend_growth_pct_text", "eps_direct_pct", "revenue_direct_pct", "fcf_direct_yield_pct", "fcf_direct_growth_pct"]
+HISTORIES = {"eps_values": "eps_years", "revenue_values": "revenue_years", "dividend_values": "dividend_years"}
 
 
 def with_components(states: DataFrame) -> DataFrame:
-    """Normalised states with every yield, multiple and growth rate as a number or null."""
-    def growth(values: str, years: str) -> Column:
-        chosen = F.slice(F.col(values), F.lit(1), F.col(years).try_cast("int"))
-        return histories.mean_growth_percent(F.transform(chosen, positive_double))
+    """Normalised states with every yield, multiple and growth rate as a number or null.
 
+    Texts are parsed once, in a step of their own: what follows refers to the parsed columns many times.
+    """
     window = (F.when(F.col("fcf_yield_mode") == "average2", "2").when(F.col("fcf_yield_mode") == "average4", "4")
               .otherwise(F.col("fcf_growth_years")))
-    flows = F.zip_with("operating_cash_flows", "capital_expenditures", lambda o, c: lenient_double(o) - lenient_double(c))
     yield_years = F.lit(0)
     for mode, years in FCF_YIELD_YEARS.items():
         yield_years = F.when(F.col("fcf_yield_mode") == mode, years).otherwise(yield_years)
-    base = states.select("*", market_cap().alias("cap"), flows.alias("cash_flows"), window.alias("fcf_window"),
-                         yield_years.alias("fcf_yield_years"))
-    base = base.select(
-        "*", histories.mean(F.slice("cash_flows", F.lit(1), F.col("fcf_yield_years"))).alias("free_cash_flow"),
-        lenient_double(F.col("net_income")).alias("income"), positive_double(F.col("pe_ratio")).alias("pe"),
-        lenient_double(F.col("fcf_direct_yield_pct")).alias("fcf_direct_yield"),
-        lenient_double(F.col("annual_dividend_per_share")).alias("dividend"),
-        positive_double(F.col("dividend_share_price")).alias("dividend_price"))
-    latest_first = F.slice("cash_flows", F.lit(1), F.col("fcf_window").try_cast("int"))
+    parsed = states.select(
+        "*", window.alias("fcf_window"), yield_years.alias("fcf_yield_years"),
+        *[number_prefix(F.col(name)).alias(f"{name}_number") for name in FIGURES],
+        *[F.transform(F.slice(F.col(name), F.lit(1), F.col(years).try_cast("int")), number_prefix).alias(f"{name}_numbers") for name, years in HISTORIES.items()],
+        *[F.transform(name, number_prefix).alias(f"{name}_numbers") for name in ("operating_cash_flows", "capital_expenditures")])
+
+    def figure(name: str) -> Column:
+        return finite(F.col(f"{name}_number"))
+
+    def above_zero(name: str) -> Column:
+        return positive(F.col(f"{name}_number"))
+
+    flows = F.zip_with("operating_cash_flows_numbers", "capital_expenditures_numbers", lambda o, c: finite(o) - finite(c))
+    cap = F.when(F.col("market_cap_mode") == "shares", above_zero("shares_outstanding") * above_zero("common_share_price")).otherwise(above_zero("market_cap"))
+    base = parsed.select(
+        *states.columns, "fcf_window", "fcf_yield_years", cap.alias("cap"), flows.alias("cash_flows"),
+        figure("net_income").alias("income"), above_zero("pe_ratio").alias("pe"), figure("fcf_direct_yield_pct").alias("fcf_direct_yield"),
+        figure("annual_dividend_per_share").alias("dividend"), above_zero("dividend_share_price").alias("dividend_price"),
+        figure("dividend_yield_pct_text").alias("dividend_direct_yield"),
+        *[figure(text).alias(name) for text, name in (("eps_direct_pct", "eps_estimate_pct"), ("revenue_direct_pct", "revenue_estimate_pct"),
+                                                      ("dividend_growth_pct_text", "dividend_estimate_pct"), ("fcf_direct_growth_pct", "fcf_estimate_pct"))],
+        *[F.transform(f"{name}_numbers", positive).alias(f"{name}_numbers") for name in HISTORIES])
+    base = base.withColumns({
+        "yield_flows": F.slice("cash_flows", F.lit(1), F.col("fcf_yield_years")),
+        "oldest_first_flows": F.reverse(F.slice("cash_flows", F.lit(1), F.col("fcf_window").try_cast("int")))})
+    base = base.withColumn("free_cash_flow", histories.mean(F.col("yield_flows")))
     direct_fcf = F.col("fcf_yield_mode") == "direct"
     by_pe = F.col("earnings_yield_mode") == "pe"
     parts = base.select(
@@ -147,16 +163,10 @@ def with_components(states: DataFrame) -> DataFrame:
         F.when(direct_fcf, F.col("fcf_direct_yield")).otherwise(F.try_divide(F.col("free_cash_flow"), F.col("cap")) * 100).alias("fcf_yield_pct"),
         F.when(direct_fcf, F.try_divide(F.lit(100.0), F.when(F.col("fcf_direct_yield") > 0, F.col("fcf_direct_yield")))).otherwise(
             F.try_divide(F.col("cap"), F.col("free_cash_flow"))).alias("implied_price_to_fcf"),
-        F.when(F.col("dividend_yield_mode") == "direct", lenient_double(F.col("dividend_yield_pct_text"))).otherwise(
+        F.when(F.col("dividend_yield_mode") == "direct", F.col("dividend_direct_yield")).otherwise(
             F.try_divide(F.col("dividend"), F.col("dividend_price")) * 100).alias("dividend_yield_pct"),
-        growth("eps_values", "eps_years").alias("eps_history_pct"),
-        growth("revenue_values", "revenue_years").alias("revenue_history_pct"),
-        growth("dividend_values", "dividend_years").alias("dividend_history_pct"),
-        histories.mean_growth_percent(F.reverse(latest_first)).alias("fcf_history_pct"),
-        lenient_double(F.col("eps_direct_pct")).alias("eps_estimate_pct"),
-        lenient_double(F.col("revenue_direct_pct")).alias("revenue_estimate_pct"),
-        lenient_double(F.col("dividend_growth_pct_text")).alias("dividend_estimate_pct"),
-        lenient_double(F.col("fcf_direct_growth_pct")).alias("fcf_estimate_pct"),
+        *[histories.mean_growth_percent(F.col(f"{basis}_values_numbers")).alias(f"{basis}_history_pct") for basis in ("eps", "revenue", "dividend")],
+        histories.mean_growth_percent(F.col("oldest_first_flows")).alias("fcf_history_pct"),
     )
 
     def selected(basis: str) -> Column:
