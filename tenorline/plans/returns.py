@@ -5,6 +5,8 @@ Each analysis is one row, and every value is a column expression of it; nothing
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenorline.functions import histories
@@ -43,6 +45,11 @@ EXPORT_COLUMNS = {
 }
 
 
+def export_filename(day: date) -> str:
+    """Name of the export of a day."""
+    return f"return-expectation-analyses-{day.isoformat()}.csv"
+
+
 def normalise_states(analyses: DataFrame, state: str = "state_json") -> DataFrame:
     """Saved states of any version to the current flat layout; unnamed or unreadable rows are dropped.
 

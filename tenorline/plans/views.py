@@ -301,6 +301,35 @@ def path_order(paths: DataFrame) -> DataFrame:
     return paths.orderBy("pair_key", "observation_month", *_path_order())
 
 
+def region_order(rows: DataFrame) -> DataFrame:
+    """By region, and within it by market name where there is one."""
+    return rows.orderBy("region", *[name for name in ("market_name",) if name in rows.columns])
+
+
+def tenor_order(snapshots: DataFrame) -> DataFrame:
+    return snapshots.orderBy("pair_key", tenor_rank(F.col("tenor")), "as_of_date")
+
+
+def availability_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("pair_key", "section_key", "item_key")
+
+
+def pair_rows(rows: DataFrame, pair_key: str) -> DataFrame:
+    """Rows of one pair; on a stored mart the filter reaches the scan."""
+    return rows.where(F.col("pair_key") == pair_key)
+
+
+def named_sides(rows: DataFrame, base: str = "eur", quote: str = "usd", home: str = "us", foreign: str = "ea") -> DataFrame:
+    """Mart columns named after one pair's currencies (``eur_rate``, ``us_cpi_series_key``) instead of its sides."""
+    names = {"base_rate": f"{base}_rate", "quote_rate": f"{quote}_rate", "home_cpi": f"{home}_cpi", "foreign_cpi": f"{foreign}_cpi"}
+    renamed = {}
+    for column in rows.columns:
+        for side, name in names.items():
+            if column.startswith(side):
+                renamed[column] = name + column[len(side):]
+    return rows.withColumnsRenamed(renamed)
+
+
 def _path_order() -> list[Column]:
     return [F.coalesce(name, F.lit("")) for name in PATH_ORDER]
 

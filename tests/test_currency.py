@@ -216,3 +216,15 @@ def test_salted_join_equals_plain_join(spark):
     for how in ("inner", "left", "left_anti"):
         plain = sorted(map(str, left.join(right, ["k"], how).collect()))
         assert sorted(map(str, salted_join(left, right, ["k"], how, hot_rows=20).collect())) == plain
+
+
+def test_listing_orders_and_names(spark, staging):
+    result = irp.currency_irp(staging(IRP_ROWS), catalog.tenor_dim(spark))
+    assert [r["tenor"] for r in views.tenor_order(result.snapshots).collect()] == ["3M", "6M", "12M"]
+    assert [r["item_key"] for r in views.availability_order(result.availability).collect()] == ["12M", "3M", "6M"]
+    assert views.pair_rows(result.snapshots, "gbpusd").count() == 0
+    named = views.named_sides(result.snapshots)
+    assert {"eur_rate", "usd_rate", "eur_rate_series_key", "usd_rate_source_url"} <= set(named.columns)
+    snapshots = run(spark, staging, long_fixture()).snapshots
+    assert {"us_cpi_series_key", "ea_cpi_source_url"} <= set(views.named_sides(snapshots).columns)
+    assert [r["anchor_kind"] for r in views.snapshot_order(snapshots).limit(11).collect()] == ["window"] * 10 + ["year"]

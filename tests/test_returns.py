@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 from copy import deepcopy
 
 from conftest import dicts
@@ -109,4 +110,5 @@ def test_csv_export(spark, tmp_path):
 
 
 def test_export_headers(spark):
+    assert returns.export_filename(date(2026, 7, 16)) == "return-expectation-analyses-2026-07-16.csv"
     assert returns.export_rows(frame(spark, a=BASE)).columns == list(returns.EXPORT_COLUMNS.values()) and len(returns.EXPORT_COLUMNS) == 16
