@@ -9,7 +9,10 @@ from tenorline.sources import valuations
 from tenorline.workload import adapters as a
 
 RUN_DATE = "2026-07-16"
-K = F.col("p_partkey")
+
+
+def _k():
+    return F.col("p_partkey")
 
 
 def _ratio(shift: int):
@@ -23,40 +26,40 @@ def _wrapped(number):
 
 def quote_payloads(spark, sf_dir):
     """One quote payload per part: wrapped, bare, textual, zero, empty and missing figures in turn."""
-    pe = (F.when(K % 7 == 0, "null").when(K % 7 == 1, "{}").when(K % 7 == 2, "0").when(K % 7 == 3, F.concat(F.lit('"'), _ratio(50), F.lit('"')))
-          .when(K % 7 == 4, _ratio(50)).when(K % 7 == 5, '{"raw":null}').otherwise(_wrapped(_ratio(50))))
-    ps_first = F.when(K % 5 == 0, "0").when(K % 5 == 1, '"n/a"').otherwise(_wrapped(_ratio(300)))
-    dividend = F.when(K % 3 == 0, F.concat(F.lit('{"raw":'), (K % 90).cast("string"), F.lit("e-3}"))).when(K % 3 == 1, "1.75").otherwise('""')
-    time = F.when(K % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit('{"raw":'), (F.lit(1700000000) + K * 86400 % 50000000).cast("string"), F.lit("}")))
+    pe = (F.when(_k() % 7 == 0, "null").when(_k() % 7 == 1, "{}").when(_k() % 7 == 2, "0").when(_k() % 7 == 3, F.concat(F.lit('"'), _ratio(50), F.lit('"')))
+          .when(_k() % 7 == 4, _ratio(50)).when(_k() % 7 == 5, '{"raw":null}').otherwise(_wrapped(_ratio(50))))
+    ps_first = F.when(_k() % 5 == 0, "0").when(_k() % 5 == 1, '"n/a"').otherwise(_wrapped(_ratio(300)))
+    dividend = F.when(_k() % 3 == 0, F.concat(F.lit('{"raw":'), (_k() % 90).cast("string"), F.lit("e-3}"))).when(_k() % 3 == 1, "1.75").otherwise('""')
+    time = F.when(_k() % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit('{"raw":'), (F.lit(1700000000) + _k() * 86400 % 50000000).cast("string"), F.lit("}")))
     body = F.concat(
-        F.lit('{"quoteSummary":{"result":[{"price":{"symbol":'), F.when(K % 2 == 0, '""').otherwise(F.concat(F.lit('"P'), K.cast("string"), F.lit('"'))),
+        F.lit('{"quoteSummary":{"result":[{"price":{"symbol":'), F.when(_k() % 2 == 0, '""').otherwise(F.concat(F.lit('"P'), _k().cast("string"), F.lit('"'))),
         F.lit(',"regularMarketTime":'), time, F.lit(',"shortName":null,"longName":"'), F.col("p_name"), F.lit('"},"defaultKeyStatistics":{"trailingPE":'), pe,
-        F.lit(',"priceToBook":'), F.when(K % 4 == 0, "true").otherwise(_wrapped(_ratio(200))), F.lit(',"priceToSalesTrailing12Months":'), ps_first,
+        F.lit(',"priceToBook":'), F.when(_k() % 4 == 0, "true").otherwise(_wrapped(_ratio(200))), F.lit(',"priceToSalesTrailing12Months":'), ps_first,
         F.lit('},"summaryDetail":{"trailingPE":{"raw":'), _ratio(60), F.lit('},"priceToSalesTrailing12Months":{"raw":'), _ratio(400),
         F.lit('},"dividendYield":'), dividend, F.lit("}}]}}"))
-    payload = F.when(K % 29 == 0, "{not json").when(K % 29 == 1, '{"quoteSummary":{"result":[]}}').otherwise(body)
+    payload = F.when(_k() % 29 == 0, "{not json").when(_k() % 29 == 1, '{"quoteSummary":{"result":[]}}').otherwise(body)
     return a.table(spark, sf_dir, "part").select(
-        F.lit("yahoo_finance").alias("provider"), F.concat(F.lit("P"), K.cast("string"), F.lit(".US")).alias("external_symbol"), payload.alias("payload_json"))
+        F.lit("yahoo_finance").alias("provider"), F.concat(F.lit("P"), _k().cast("string"), F.lit(".US")).alias("external_symbol"), payload.alias("payload_json"))
 
 
 def fund_payloads(spark, sf_dir):
     body = F.concat(
-        F.lit('{"General":{"Code":"F'), K.cast("string"), F.lit('","Type":"ETF"},"ETF_Data":{"Valuations_Growth":{"Price/Prospective Earnings":'), _ratio(50),
-        F.lit(',"Price/Book":"'), _ratio(200), F.lit('","Price/Sales":'), F.when(K % 3 == 0, '"bad"').otherwise(_ratio(300)),
-        F.when(K % 2 == 0, F.concat(F.lit(',"Dividend-Yield Factor":'), _ratio(1000))).otherwise(""), F.lit("}}}"))
+        F.lit('{"General":{"Code":"F'), _k().cast("string"), F.lit('","Type":"ETF"},"ETF_Data":{"Valuations_Growth":{"Price/Prospective Earnings":'), _ratio(50),
+        F.lit(',"Price/Book":"'), _ratio(200), F.lit('","Price/Sales":'), F.when(_k() % 3 == 0, '"bad"').otherwise(_ratio(300)),
+        F.when(_k() % 2 == 0, F.concat(F.lit(',"Dividend-Yield Factor":'), _ratio(1000))).otherwise(""), F.lit("}}}"))
     return a.table(spark, sf_dir, "part").select(
-        F.lit("eodhd").alias("provider"), F.concat(F.lit("F"), K.cast("string"), F.lit(".US")).alias("external_symbol"), body.alias("payload_json"))
+        F.lit("eodhd").alias("provider"), F.concat(F.lit("F"), _k().cast("string"), F.lit(".US")).alias("external_symbol"), body.alias("payload_json"))
 
 
 def markets(spark, sf_dir):
     """One market per part; some have no payload, and some use the provider without dates."""
     parts = a.table(spark, sf_dir, "part")
-    by_fund = K % 31 == 0
-    symbol = F.when(by_fund, F.concat(F.lit("F"), K.cast("string"))).when(K % 37 == 0, F.concat(F.lit("X"), K.cast("string"))).otherwise(F.concat(F.lit("P"), K.cast("string")))
+    by_fund = _k() % 31 == 0
+    symbol = F.when(by_fund, F.concat(F.lit("F"), _k().cast("string"))).when(_k() % 37 == 0, F.concat(F.lit("X"), _k().cast("string"))).otherwise(F.concat(F.lit("P"), _k().cast("string")))
     return parts.select(
-        K.cast("int").alias("market_no"), F.concat(F.lit("market_"), K.cast("string")).alias("market_id"), F.col("p_brand").alias("region"),
-        F.concat(F.col("p_name"), F.lit(" "), K.cast("string")).alias("market_name"), F.concat(symbol, F.lit(".US")).alias("measured_symbol"),
-        F.col("p_name").alias("measured_name"), F.when(K % 2 == 0, "ETF").otherwise("index").alias("measured_type"),
+        _k().cast("int").alias("market_no"), F.concat(F.lit("market_"), _k().cast("string")).alias("market_id"), F.col("p_brand").alias("region"),
+        F.concat(F.col("p_name"), F.lit(" "), _k().cast("string")).alias("market_name"), F.concat(symbol, F.lit(".US")).alias("measured_symbol"),
+        F.col("p_name").alias("measured_name"), F.when(_k() % 2 == 0, "ETF").otherwise("index").alias("measured_type"),
         F.when(by_fund, "eodhd").otherwise("yahoo_finance").alias("provider"))
 
 

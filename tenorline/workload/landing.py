@@ -12,16 +12,27 @@ from tenorline.operators.staging import stage_series
 from tenorline.session import checkpoint_root
 from tenorline.sources import observations as obs
 from tenorline.workload import adapters as a
-from tenorline.workload.series import POS, SQL_PERIOD, SQL_POS, landed_items
+from tenorline.workload.series import SQL_PERIOD, SQL_POS, landed_items, pos
 
-K = F.col("o_orderkey")
-DAY = F.date_format("o_orderdate", "yyyy-MM-dd")
-NEXT = F.date_format(F.add_months(F.to_date("o_orderdate"), 1), "yyyy-MM-dd")
-PRICE = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+
+def _k():
+    return F.col("o_orderkey")
+
+
+def _day():
+    return F.date_format("o_orderdate", "yyyy-MM-dd")
+
+
+def _next():
+    return F.date_format(F.add_months(F.to_date("o_orderdate"), 1), "yyyy-MM-dd")
+
+
+def _price():
+    return F.col("o_totalprice").cast("decimal(18,2)").cast("string")
 
 
 def _payloads(spark, sf_dir, text):
-    return a.table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), K.cast("string")).alias("series_id"), F.lit("daily").alias("frequency"), text.alias("payload"))
+    return a.table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), _k().cast("string")).alias("series_id"), F.lit("daily").alias("frequency"), text.alias("payload"))
 
 
 def _shown(landed):
@@ -29,15 +40,15 @@ def _shown(landed):
 
 
 def json_observations(spark, sf_dir):
-    text = F.when(K % 10 == 0, "{}").otherwise(F.concat(
-        F.lit('{"count":2,"observations":[{"date":"'), DAY, F.lit('","value":"'), PRICE, F.lit('"},{"date":"'), NEXT, F.lit('","value":"."}]}')))
+    text = F.when(_k() % 10 == 0, "{}").otherwise(F.concat(
+        F.lit('{"count":2,"observations":[{"date":"'), _day(), F.lit('","value":"'), _price(), F.lit('"},{"date":"'), _next(), F.lit('","value":"."}]}')))
     return _shown(obs.json_observations(_payloads(spark, sf_dir, text)))
 
 
 def _array_payloads(spark, sf_dir):
-    doc = F.concat(F.lit('{"period_start_day":["'), DAY, F.lit('","'), NEXT, F.lit('"'), F.when(K % 3 == 0, "").otherwise(F.concat(F.lit(',"'), NEXT, F.lit('"'))),
-                   F.lit('],"value":['), F.when(K % 4 == 0, '"NA"').otherwise(PRICE), F.lit(","), F.lit("-1.5"), F.when(K % 5 == 0, "").otherwise(',"3"'), F.lit("]}"))
-    text = F.when(K % 10 == 0, '{"series":{"docs":[]}}').when(K % 10 == 1, "{}").otherwise(F.concat(F.lit('{"series":{"docs":['), doc, F.lit(',{"value":["9"]}]}}')))
+    doc = F.concat(F.lit('{"period_start_day":["'), _day(), F.lit('","'), _next(), F.lit('"'), F.when(_k() % 3 == 0, "").otherwise(F.concat(F.lit(',"'), _next(), F.lit('"'))),
+                   F.lit('],"value":['), F.when(_k() % 4 == 0, '"NA"').otherwise(_price()), F.lit(","), F.lit("-1.5"), F.when(_k() % 5 == 0, "").otherwise(',"3"'), F.lit("]}"))
+    text = F.when(_k() % 10 == 0, '{"series":{"docs":[]}}').when(_k() % 10 == 1, "{}").otherwise(F.concat(F.lit('{"series":{"docs":['), doc, F.lit(',{"value":["9"]}]}}')))
     return _payloads(spark, sf_dir, text)
 
 
@@ -51,10 +62,10 @@ def parallel_array_errors(spark, sf_dir):
 
 
 def csv_observations(spark, sf_dir):
-    header = F.when(K % 2 == 0, "KEY,TITLE,TIME_PERIOD,OBS_VALUE").otherwise("OBS_VALUE,TIME_PERIOD,TITLE,KEY")
+    header = F.when(_k() % 2 == 0, "KEY,TITLE,TIME_PERIOD,OBS_VALUE").otherwise("OBS_VALUE,TIME_PERIOD,TITLE,KEY")
     title = F.lit('"Spot, ""daily"""')
-    line = F.when(K % 2 == 0, F.concat(F.lit("k,"), title, F.lit(","), DAY, F.lit(","), PRICE)).otherwise(F.concat(PRICE, F.lit(","), DAY, F.lit(","), title, F.lit(",k")))
-    empty = F.when(K % 2 == 0, F.concat(F.lit("k,"), title, F.lit(","), NEXT, F.lit(","))).otherwise(F.concat(F.lit(","), NEXT, F.lit(","), title, F.lit(",k")))
+    line = F.when(_k() % 2 == 0, F.concat(F.lit("k,"), title, F.lit(","), _day(), F.lit(","), _price())).otherwise(F.concat(_price(), F.lit(","), _day(), F.lit(","), title, F.lit(",k")))
+    empty = F.when(_k() % 2 == 0, F.concat(F.lit("k,"), title, F.lit(","), _next(), F.lit(","))).otherwise(F.concat(F.lit(","), _next(), F.lit(","), title, F.lit(",k")))
     return _shown(obs.csv_observations(_payloads(spark, sf_dir, F.concat_ws("\r\n", header, line, empty, F.lit("")))))
 
 
@@ -65,7 +76,7 @@ def request_window(spark, sf_dir):
         F.concat(F.lit("part-"), k.cast("string")).alias("series_id"), F.when(k % 2 == 0, "1997-06-15").alias("start_date"), F.when(k % 3 == 0, "2000-03-31").alias("end_date"),
         F.when(k % 4 == 1, 5).when(k % 4 == 2, 3).alias("max_rows"), F.when(k % 4 == 1, "first").otherwise("last").alias("keep"))
     rows = a.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"), POS.alias("pos"),
+        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"), pos().alias("pos"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_extendedprice").alias("value"))
     return obs.request_window(rows, windows)
 

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from tenorline.plans import returns
 from tenorline.workload import adapters as a
 
-K = F.col("p_partkey")
-SIZE = F.col("p_size")
+
+def _k():
+    return F.col("p_partkey")
+
+
+def _size():
+    return F.col("p_size")
 
 
 def _text(x):
@@ -22,32 +27,32 @@ def analyses(spark, sf_dir):
 
     price = F.floor("p_retailprice")
     growth = F.struct(
-        F.when(K % 2 == 0, "eps").otherwise("revenue").alias("basis"),
+        F.when(_k() % 2 == 0, "eps").otherwise("revenue").alias("basis"),
         F.struct(
-            F.struct(F.when(K % 3 == 0, "direct").otherwise("historical").alias("mode"), F.lit("6,5").alias("directPct"), F.lit("4").alias("years"),
-                     quoted(SIZE + 10, SIZE + 11, SIZE + 12, SIZE + 15).alias("historicalValues")).alias("eps"),
-            F.struct(F.lit("historical").alias("mode"), F.when(K % 5 == 0, "7").otherwise("").alias("directPct"), F.lit("5").alias("years"),
-                     quoted(price, price + 50, F.when(K % 7 == 0, F.lit(-1)).otherwise(price + 90), price + 100, price + 110).alias("historicalValues")).alias("revenue"),
+            F.struct(F.when(_k() % 3 == 0, "direct").otherwise("historical").alias("mode"), F.lit("6,5").alias("directPct"), F.lit("4").alias("years"),
+                     quoted(_size() + 10, _size() + 11, _size() + 12, _size() + 15).alias("historicalValues")).alias("eps"),
+            F.struct(F.lit("historical").alias("mode"), F.when(_k() % 5 == 0, "7").otherwise("").alias("directPct"), F.lit("5").alias("years"),
+                     quoted(price, price + 50, F.when(_k() % 7 == 0, F.lit(-1)).otherwise(price + 90), price + 100, price + 110).alias("historicalValues")).alias("revenue"),
         ).alias("byBasis"))
     current = F.to_json(F.struct(
-        F.when(K % 3 == 0, "gordon").when(K % 3 == 1, "earnings").otherwise("fcf").alias("model"),
-        F.struct(F.when(K % 4 == 0, "shares").otherwise("direct").alias("marketCapMode"), _text(price * 100).alias("marketCap"), _text(SIZE * 10).alias("sharesOutstanding"),
-                 _text(SIZE + 5).alias("sharePrice")).alias("common"),
+        F.when(_k() % 3 == 0, "gordon").when(_k() % 3 == 1, "earnings").otherwise("fcf").alias("model"),
+        F.struct(F.when(_k() % 4 == 0, "shares").otherwise("direct").alias("marketCapMode"), _text(price * 100).alias("marketCap"), _text(_size() * 10).alias("sharesOutstanding"),
+                 _text(_size() + 5).alias("sharePrice")).alias("common"),
         growth.alias("growth"),
-        F.struct(F.lit("amounts").alias("dividendYieldMode"), F.lit("1.50").alias("annualDividendPerShare"), _text(SIZE - 2).alias("sharePrice"), F.lit("direct").alias("dividendGrowthMode"),
-                 F.when(K % 6 == 0, "n/a").otherwise("4.25").alias("dividendGrowthPct")).alias("gordon"),
-        F.struct(F.when(K % 8 == 1, "pe").otherwise("amounts").alias("yieldMode"), _text(SIZE).alias("peRatio"), _text(price - 1000).alias("netIncome")).alias("earnings"),
-        F.struct(F.when(K % 4 == 0, "latest").when(K % 4 == 1, "average2").when(K % 4 == 2, "average4").otherwise("direct").alias("yieldMode"),
-                 F.when(K % 5 < 2, "historical").otherwise("direct").alias("growthMode"), F.lit("2").alias("growthYears"), F.lit("5.5").alias("directYieldPct"), F.lit("3").alias("directGrowthPct"),
-                 quoted(SIZE * 9 + 80, SIZE * 8 + 70, SIZE * 7 + 60, SIZE * 6 + 50).alias("operatingCashFlows"), quoted(SIZE + 60, SIZE + 50, SIZE + 40, SIZE + 30).alias("capitalExpenditures")).alias("fcf")))
+        F.struct(F.lit("amounts").alias("dividendYieldMode"), F.lit("1.50").alias("annualDividendPerShare"), _text(_size() - 2).alias("sharePrice"), F.lit("direct").alias("dividendGrowthMode"),
+                 F.when(_k() % 6 == 0, "n/a").otherwise("4.25").alias("dividendGrowthPct")).alias("gordon"),
+        F.struct(F.when(_k() % 8 == 1, "pe").otherwise("amounts").alias("yieldMode"), _text(_size()).alias("peRatio"), _text(price - 1000).alias("netIncome")).alias("earnings"),
+        F.struct(F.when(_k() % 4 == 0, "latest").when(_k() % 4 == 1, "average2").when(_k() % 4 == 2, "average4").otherwise("direct").alias("yieldMode"),
+                 F.when(_k() % 5 < 2, "historical").otherwise("direct").alias("growthMode"), F.lit("2").alias("growthYears"), F.lit("5.5").alias("directYieldPct"), F.lit("3").alias("directGrowthPct"),
+                 quoted(_size() * 9 + 80, _size() * 8 + 70, _size() * 7 + 60, _size() * 6 + 50).alias("operatingCashFlows"), quoted(_size() + 60, _size() + 50, _size() + 40, _size() + 30).alias("capitalExpenditures")).alias("fcf")))
     # The oldest layout: growth without a basis, one free cash flow, market capitalisation under earnings.
     older = F.to_json(F.struct(
-        F.struct(F.lit("historical").alias("mode"), F.lit("4").alias("years"), quoted(SIZE + 10, SIZE + 12, SIZE + 14, SIZE + 16).alias("historicalValues")).alias("growth"),
-        F.struct(_text(SIZE + 1).alias("peRatio"), _text(price * 50).alias("marketCap")).alias("earnings"),
+        F.struct(F.lit("historical").alias("mode"), F.lit("4").alias("years"), quoted(_size() + 10, _size() + 12, _size() + 14, _size() + 16).alias("historicalValues")).alias("growth"),
+        F.struct(_text(_size() + 1).alias("peRatio"), _text(price * 50).alias("marketCap")).alias("earnings"),
         F.struct(F.lit("amounts").alias("yieldMode"), F.lit("latest").alias("basis"), _text(price).alias("freeCashFlow"), F.lit("5").alias("years")).alias("fcf")))
     return a.table(spark, sf_dir, "part").select(
-        F.when(K % 97 == 0, "").otherwise(F.concat(F.lit("analysis "), _text(K))).alias("name"),
-        F.when(K % 10 == 9, older).when(K % 89 == 0, "not json").otherwise(current).alias("state_json"))
+        F.when(_k() % 97 == 0, "").otherwise(F.concat(F.lit("analysis "), _text(_k()))).alias("name"),
+        F.when(_k() % 10 == 9, older).when(_k() % 89 == 0, "not json").otherwise(current).alias("state_json"))
 
 
 def _states(spark, sf_dir):

@@ -12,10 +12,13 @@ from tenorline.workload import adapters as a
 from tenorline.workload.adapters import sql_month, sql_month_no, sql_round
 
 # Line numbers repeat within an order, so the quantity takes part in the listing position.
-POS = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("bigint")
 SQL_POS = "(l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT))"
 
 
+def pos():
+    return F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("bigint")
+
+
 def landed_items(spark, sf_dir, items=None):
     """Every line item as a landed observation of its part: a day, a value text, some texts that are no number."""
     price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
@@ -29,7 +32,7 @@ def landed_items(spark, sf_dir, items=None):
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"),
         F.when(kind == 0, "monthly").when(kind == 1, "quarterly").when(kind == 2, "annual").otherwise("daily").alias("frequency"),
         F.lit("price").alias("category"), F.lit("ALL").alias("region"), F.lit("level").alias("unit"), F.lit("lineitem").alias("provider"),
-        F.lit("table:lineitem").alias("source_url"), POS.alias("pos"),
+        F.lit("table:lineitem").alias("source_url"), pos().alias("pos"),
         F.when((kind == 0) & (F.col("l_linenumber") < 4), F.left(day, F.lit(7))).when((kind == 1) & (F.col("l_linenumber") < 4), quarter).otherwise(day).alias("date"),
         value.alias("value")), LANDED)
 
