@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tenorline.operators.joins import salted_join
 from tenorline.schemas import LANDED, conform
 
 # Column names of the CSV payload and the missing-value mark of the array payload.
@@ -72,17 +73,16 @@ def request_window(landed: DataFrame, windows: DataFrame) -> DataFrame:
     """Keep what a request would have returned.
 
     ``windows`` has one row per series: inclusive ``start_date`` and ``end_date`` texts, ``max_rows``, and
-    ``keep`` (``first`` or ``last``). Null means no bound. Series are cut into salted slices: the windows, one
-    row per series, are copied to each slice, rows are ranked within their slice on the join's own
-    partitioning, and only the survivors are ranked per series. No task ever holds a whole large series.
+    ``keep`` (``first`` or ``last``). Null means no bound. Large series are joined in salted parts; limited rows
+    are ranked within salted slices of their series first and then among the survivors, so no task ever
+    holds a whole large series.
     """
     order = F.when(F.col("keep") == "last", -F.col("pos")).otherwise(F.col("pos"))
-    sliced = landed.withColumn("_salt", F.pmod(F.hash("pos"), F.lit(LIMIT_SALTS)))
-    copies = windows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LIMIT_SALTS - 1))))
-    bounded = sliced.join(copies, ["series_id", "_salt"], "left").where(
+    bounded = salted_join(landed, windows, ["series_id"], "left").where(
         (F.col("start_date").isNull() | (F.col("date") >= F.col("start_date")))
         & (F.col("end_date").isNull() | (F.col("date") <= F.col("end_date"))))
-    limited = bounded.where("max_rows IS NOT NULL").withColumn("_order", order)
+    limited = bounded.where("max_rows IS NOT NULL").withColumns({
+        "_order": order, "_salt": F.pmod(F.hash("pos"), F.lit(LIMIT_SALTS))})
     slices = W.partitionBy("series_id", "_salt").orderBy("_order")
     whole = W.partitionBy("series_id").orderBy("_order")
     survivors = limited.withColumn("_rank", F.row_number().over(slices)).where("_rank <= max_rows")
