@@ -1,7 +1,8 @@
 """Batch refreshes: landed payloads to stored tables and marts.
 
 Every refresh is idempotent: keyed upserts and replace-by-key writes give the same tables when a run is
-repeated after a failure. Prepared staging rows are written before the marts read them, so each mart starts
+repeated after a failure. Results carry a status and the error lines as a DataFrame, since a run over many
+series may have many. Prepared staging rows are written before the marts read them, so each mart starts
 from a stored table instead of recomputing the landing pipeline.
 """
 
@@ -19,9 +20,10 @@ from tenorline.plans.equity import failure_summary, valuation_snapshot
 from tenorline.plans.irp import currency_irp
 from tenorline.plans.macro import RuleParameters, metrics_from_facts, region_facts, taylor_from_facts
 from tenorline.plans.ppp import currency_ppp
-from tenorline.schemas import EQUITY_PAYLOADS, RUN_LOG, STAGING, conform
+from tenorline.schemas import EQUITY_PAYLOADS, RUN_LOG, STAGING, conform, schema_of
 from tenorline.sources.tables import staging_for_series
 
+ERRORS = schema_of("series_id string", "error string!")
 NO_SECTIONS = "No currency analysis sections could be built from the fetched inputs."
 
 
@@ -31,9 +33,9 @@ def refresh_currency(spark: SparkSession, root: str, landed: DataFrame, outcomes
     prepared = _prepare(spark, root, landed, outcomes, run_at)
     ppp, irp = currency_ppp(prepared, pairs, pk_compat), currency_irp(prepared, tenors)
     availability = ppp.availability.unionByName(irp.availability)
-    errors = _texts(incremental.fetch_errors(outcomes))
+    errors = incremental.fetch_errors(outcomes)
     if availability.where("status = 'available'").isEmpty():
-        return {"status": "failed", "errors": errors or [NO_SECTIONS]}
+        return {"status": "failed", "errors": local_frame(spark, [(None, NO_SECTIONS)], ERRORS) if errors.isEmpty() else errors}
     with _run(spark, root, "currency-analysis", "currency_analysis", run_at):
         _load_layers(spark, root, landed, outcomes, prepared, run_at)
         for name, rows, keys in (
@@ -47,8 +49,8 @@ def refresh_currency(spark: SparkSession, root: str, landed: DataFrame, outcomes
 def refresh_macro(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame, roles: DataFrame,
                   run_at: datetime, parameters: RuleParameters = RuleParameters()) -> dict:
     """Policy-rule and reference marts. Any failed series or missing input fails the run."""
-    errors = _texts(incremental.fetch_errors(outcomes))
-    if errors:
+    errors = incremental.fetch_errors(outcomes)
+    if not errors.isEmpty():
         return {"status": "failed", "errors": errors}
     prepared = _prepare(spark, root, landed, outcomes, run_at)
     facts = region_facts(prepared, roles)
@@ -68,7 +70,7 @@ def refresh_equity(spark: SparkSession, root: str, payloads: DataFrame, markets:
                                    ["provider", "external_symbol", "fetched_at"]), root, "equity_payloads")
     _replace(spark, root, "equity_market_valuation_snapshot", result.snapshots, ["market_id"])
     summary = failure_summary(markets, result.snapshots, result.rejects, landed).first()
-    return {**summary.asDict(), "errors": _texts(result.rejects.orderBy("market_no"))}
+    return {**summary.asDict(), "errors": result.rejects}
 
 
 def append_seed(spark: SparkSession, root: str, seed: DataFrame) -> None:
@@ -122,8 +124,3 @@ class _run:
         row = local_frame(self.spark, [(self.run_id, self.domain, self.run_at, finished_at, status, error)], RUN_LOG)
         log = sinks.read_table(self.spark, self.root, "pipeline_runs")
         sinks.write_table(incremental.record_run(log, row), self.root, "pipeline_runs")
-
-
-def _texts(errors: DataFrame) -> list[str]:
-    """Error lines for the caller; at most one per configured series or market."""
-    return [row["error"] for row in errors.select("error").collect()]
