@@ -13,13 +13,14 @@ import pytest
 from conftest import TESTDATA
 from tenorline.operators.staging import fill_gaps, stage_series
 from tenorline.plans import ppp
+from tenorline import workload
 from tenorline.schemas import LANDED, STAGING
 
 SF = str(TESTDATA / "sf0.001")
 _spec = importlib.util.spec_from_file_location("spark_entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
 entry_module = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(entry_module)
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = workload.queries(), workload.oracles()
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="needs the given tables")
 
@@ -39,6 +40,7 @@ def canonical(rows):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES) and len(QUERIES) > 70
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
