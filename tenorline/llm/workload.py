@@ -3,24 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenorline.llm import chat, mixing, secrets
+from tenorline.llm import chat, decontaminate, importance, jaccard, kdtree, language, mixing, secrets, token_files, warc
 from tenorline.llm.runtime import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public vocabulary files of this machine are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_chat_formatting, op9_source_mixing)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_decontamination, op3_ngram_jaccard_join, op4_warc, op5_language_id, op6_token_output, op7_chat_formatting, op8_quality_resampling,
+    op9_source_mixing, op10_topk_search)}
 
 
 def _sql_text(text: str) -> str:
@@ -82,4 +122,29 @@ r0 AS (SELECT doc_id, d.source, size, draw, source_size, target, CASE WHEN sourc
        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source){_round("r0", "r1")}{_round("r1", "r2")}{_round("r2", "r3")}
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + extra::INT))::BIGINT AS taken FROM r3"""
 
-ORACLES = {"op1_secret_scan": _SECRETS, "op7_chat_formatting": _CHATS, "op9_source_mixing": _MIX}
+_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^0-9a-z_\x{80}-\x{10FFFF}]+') IF x <> ''] AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS gram FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g AS a JOIN g AS b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+m AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(c.least, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN m ON m.a = doc_id"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS kept FROM p)
+SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN n >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to FROM g"""
+
+_TOP_K = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
+      FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+ORACLES = {"op1_secret_scan": _SECRETS, "op3_ngram_jaccard_join": _JACCARD, "op4_warc": _WARC, "op10_topk_search": _TOP_K, "op7_chat_formatting": _CHATS, "op9_source_mixing": _MIX}
