@@ -95,9 +95,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def trigram_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id, doc_key) of the given trigrams."""
-    low = F.lower("text")
-    found = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])
-    return texts.select(F.explode(F.array_compact(found)).alias("trigram"), "doc_id", "doc_key")
+    lowered = texts.select("doc_id", "doc_key", F.lower("text").alias("low"))  # once per text: a projection of its own
+    found = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])
+    return lowered.select(F.explode(F.array_compact(found)).alias("trigram"), "doc_id", "doc_key")
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
