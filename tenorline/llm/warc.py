@@ -79,7 +79,7 @@ def _one_line(value) -> str:
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.limit = options["path"], int(options.get("fileBytes", FILE_BYTES))
+        self.path, self.limit = options["path"], int(options.get("filebytes", FILE_BYTES))
         self.run, self.overwrite = uuid.uuid4().hex, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -296,10 +296,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        return WarcReader({name.lower(): value for name, value in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options), overwrite)
+        return WarcWriter({name.lower(): value for name, value in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
