@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 256
+BLOCK = 1024
 PAIRS_AT_ONCE = 1 << 17
 COLUMNS_AT_ONCE = 4096
 
