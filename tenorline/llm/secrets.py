@@ -123,7 +123,7 @@ def spans(texts: DataFrame, rules: list[Rule], only: Column | None = None) -> Da
         return F.when(held & F.regexp_like("text", p), lengths)
 
     per_rule = texts.select("doc_id", "doc_key", F.explode(F.array_compact(F.array(*[found(r) for r in rules]))).alias("cells"))
-    rows = per_rule.select("doc_id", "doc_key", F.posexplode("cells").alias("pos", "cell")).select("doc_id", "doc_key", "pos", "cell.*")
+    rows = per_rule.select("doc_id", "doc_key", F.posexplode("cells").alias("pos", "cell")).select("doc_id", "doc_key", "pos", "cell.*").distinct()  # equal rows give equal cells
     before = Window.partitionBy("doc_id", "doc_key", "kind").orderBy("pos")
     stop = F.sum(F.col("gap") + F.col("len")).over(before)
     return rows.select("doc_id", "doc_key", "kind", (stop - F.col("len")).alias("start"), stop.alias("stop"), "kept").where("kept").drop("kept")
@@ -147,7 +147,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found.distinct()
+    return found
 
 
 def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, base: list[Rule] = BASE) -> DataFrame:
