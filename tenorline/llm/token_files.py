@@ -5,8 +5,9 @@ row groups of ``ROW_GROUP_BYTES`` and small pages with the column and offset ind
 ``n_tokens`` are columns of their own, so counts and offsets are read without any token page. Rows lie in ascending
 ``doc_id`` order: files are ranges of it, ``shard`` numbers them, and ``begin`` counts the ids before a row in its shard.
 
-Encoding goes through a memory of text pieces. Texts are cut only before a blank that an ASCII
-letter follows; the tokenizer's own splitting always cuts there too, so the ids are those of the whole text. Texts holding a special token, and long pieces, are given to the tokenizer as they are.
+Encoding goes through a memory of text pieces. Texts are cut into words, punctuation between words and rests, always at
+places where the tokenizer's own splitting cuts too, so the ids are those of the whole text; pieces that are not
+remembered, and whole texts holding a special token, are given to the tokenizer.
 
 Defined cases: a null or empty text has the end id only; a null ``doc_id`` comes first; rows with equal ids are ordered by
 their text, and equal rows lie side by side; other columns are ignored; no rows give an empty table.
@@ -14,6 +15,7 @@ their text, and equal rows lie side by side; other columns are ignored; no rows
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,46 +33,48 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PIECE_CHARS = 48  # longer pieces are not remembered
-PIECES = 200_000  # pieces remembered by a worker
-
-_PIECE = re.compile(r"(?: [A-Za-z]|[^ ]| (?![A-Za-z]))[^ ]*(?: (?![A-Za-z])[^ ]*)*")
+PIECES = 300_000  # pieces in a worker's new memory; the old one has about as many
+
+# Latin letters with and without marks; all of them are letters to the tokenizer's own pattern.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECE = re.compile(
+    rf" ?[{_LATIN}]+(?=[ \n.,;:!?]|\Z)"  # a word
+    rf"|[.,;:!?]+(?= [A-Za-z]|\n[{_LATIN}]|\Z)|\n(?=[{_LATIN}])"  # what stands between words most often
+    r"|(?: [A-Za-z]|[^ ]| (?![A-Za-z]))[^ ]*(?: (?![A-Za-z])[^ ]*)*")  # anything else, up to a blank before a letter
 FILE_SCHEMA = "doc_id long, shard int, begin long, n_tokens long, ids array<int>"
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids."""
+    """Texts to little-endian 32-bit ids. Pieces not met for a while are forgotten: those in use move from the old memory to the new."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.ids(piece)
-            if len(piece) <= PIECE_CHARS:
-                if len(self.known) >= PIECES:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.special.search(text):
-            return self.ids(text)
-        pieces, known = _PIECE.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            return b"".join([self.piece(p) for p in pieces])
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known, old = self.known, self.old
+        split = [[t] if self.special.search(t) else _PIECE.findall(t) for t in texts]
+        new = {p for pieces in split for p in pieces if p not in known}
+        seen = {p: old[p] for p in new if p in old}
+        known.update(seen)
+        missing = [p for p in new if p not in seen]
+        known.update(zip(missing, self.whole(missing)))
+        coded = [b"".join([known[p] for p in pieces]) for pieces in split]
+        for p in missing:
+            if len(p) > PIECE_CHARS:
+                del known[p]
+        if len(known) > PIECES:
+            self.known, self.old = {}, known
+        return coded
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +87,7 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, begin = encoder(path).encode, np.array([END_ID], "<u4").tobytes(), 0
         for part in slices(batches):
-            coded = [code(t or "") + end for t in part.column("text").to_pylist()]
+            coded = [c + end for c in code([t or "" for t in part.column("text").to_pylist()])]
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
             ids = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             at = np.concatenate(([0], np.cumsum(sizes)))
