@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tenorline.functions.text import WHITE_SPACE_CHARACTERS
+
 # Grammar of the numbers a landed value text may hold: single underscores between digits are
 # allowed, type suffixes (``1.5d``) and hexadecimal forms are not.
 _DIGITS = r"\d(?:_?\d)*"
@@ -22,7 +24,7 @@ def safe_double(text: Column, keep_non_finite: bool = False) -> Column:
 
     Each row is matched and cast once. A number too large for a double becomes infinity.
     """
-    trimmed = F.trim(text)
+    trimmed = F.btrim(text, F.lit(WHITE_SPACE_CHARACTERS))
     number = F.when(trimmed.rlike(_NUMBER), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
     return F.coalesce(number, F.when(trimmed.rlike(_NON_FINITE), trimmed.try_cast("double"))) if keep_non_finite else number
 

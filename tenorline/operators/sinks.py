@@ -6,6 +6,9 @@ broadcast by run-time size and the stored rows are streamed without a shuffle.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenorline.catalog import empty_frame
@@ -14,7 +17,10 @@ from tenorline.operators.joins import salted_join
 from tenorline.schemas import TABLES, conform
 
 VERSION = "v="
-STAGING_TABLE, STAGING_PARTITION = "staging_observations", "observation_year"
+KEPT_VERSIONS = 3
+STAGING_TABLE = "staging_observations"
+YEARLY, YEAR = (STAGING_TABLE, "raw_observations"), "observation_year"
+MANIFESTS = "_manifests"
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], preserve: tuple[str, ...] = (),
@@ -46,8 +52,13 @@ def append(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Current state of a stored table; a typed empty frame before its first write."""
-    version = current_version(spark, root, name)
     schema = TABLES[name].schema
+    if name in YEARLY:
+        held, path = committed_parts(spark, f"{root}/{name}"), f"{root}/{name}"
+        if not held:
+            return empty_frame(spark, schema)
+        return conform(_read_parts(spark, path, held, YEAR), schema)
+    version = current_version(spark, root, name)
     if version is None:
         return empty_frame(spark, schema)
     return conform(spark.read.parquet(_version_path(root, name, version)), schema)
@@ -56,11 +67,14 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def write_table(df: DataFrame, root: str, name: str) -> None:
     """Write a new version of a table. Readers switch to it once its job has committed.
 
-    The stored state may be an input of ``df``: the old version is left in place.
+    The stored state may be an input of ``df``: the old version is left in place. Versions older than the
+    last ``KEPT_VERSIONS`` are removed.
     """
     spark = df.sparkSession
     version = (current_version(spark, root, name) or 0) + 1
     conform(df, TABLES[name].schema).write.mode("overwrite").parquet(_version_path(root, name, version))
+    for old in range(max(1, version - 2 * KEPT_VERSIONS), version - KEPT_VERSIONS + 1):
+        remove(spark, _version_path(root, name, old))
 
 
 def append_table(df: DataFrame, root: str, name: str) -> None:
@@ -72,51 +86,115 @@ def append_table(df: DataFrame, root: str, name: str) -> None:
 def bootstrap(spark: SparkSession, root: str) -> None:
     """Create every missing versioned table, empty."""
     for name, table in TABLES.items():
-        if name != STAGING_TABLE and current_version(spark, root, name) is None:
+        if name not in YEARLY and current_version(spark, root, name) is None:
             write_table(empty_frame(spark, table.schema), root, name)
 
 
+def upsert_yearly(new: DataFrame, root: str, name: str) -> None:
+    """Upsert rows of a table that is stored by observation year; a batch rewrites only the years it touches."""
+    dated = conform(new, TABLES[name].schema).withColumn(YEAR, F.year("observation_date"))
+    upsert_partitions(dated, f"{root}/{name}", list(TABLES[name].keys), YEAR)
+
+
 def upsert_staging(new: DataFrame, root: str) -> None:
-    """Upsert staging rows, stored by observation year so that a batch rewrites only the years it touches."""
-    dated = conform(new, TABLES[STAGING_TABLE].schema).withColumn(STAGING_PARTITION, F.year("observation_date"))
-    upsert_partitions(dated, f"{root}/{STAGING_TABLE}", list(TABLES[STAGING_TABLE].keys), STAGING_PARTITION)
+    upsert_yearly(new, root, STAGING_TABLE)
 
 
 def read_staging(spark: SparkSession, root: str) -> DataFrame:
     """Stored staging rows; a typed empty frame before the first write."""
-    path, schema = f"{root}/{STAGING_TABLE}", TABLES[STAGING_TABLE].schema
-    if not _exists(spark, path):
-        return empty_frame(spark, schema)
-    return conform(spark.read.parquet(path), schema)
+    return read_table(spark, root, STAGING_TABLE)
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> int | None:
     """Highest committed version of a table, read from the folder names."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, fs = _folder(spark, f"{root}/{name}")
     if not fs.exists(folder):
         return None
     versions = [status.getPath() for status in fs.listStatus(folder) if status.getPath().getName().startswith(VERSION)]
     done = [int(path.getName()[len(VERSION):]) for path in versions
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))]
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))]
     return max(done, default=None)
 
 
 def upsert_partitions(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Upsert into a partitioned folder, rewriting only the partitions the batch touches.
+    """Upsert into a folder stored by ``partition``, rewriting only the partitions the batch touches.
 
-    ``partition`` is derived from the key, so a key never moves between partitions. Its values in one batch
-    are few (calendar years), which makes them safe to list on the driver for static pruning.
+    ``partition`` is derived from the key, so a key never moves between partitions. The batch is computed once,
+    into a work folder. The new state of the touched partitions goes to a version folder of its own, and one
+    manifest, put in place by an atomic rename, tells which version of each partition counts. Until then readers
+    see the old state, and so they do if the job dies; a rerun writes the same version again. Version folders
+    that none of the last ``KEPT_VERSIONS`` manifests names are removed.
     """
     spark = new.sparkSession
-    state = new
-    if _exists(spark, path):
-        touched = [row[0] for row in new.select(partition).distinct().collect()]
-        stored = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(touched))
-        state = upsert(stored, new, [*keys, partition])
-    (state.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+    number, held = _last_manifest(spark, path)
+    work = f"{path}/_work-{uuid.uuid4().hex}"
+    new.write.partitionBy(partition).parquet(work)
+    touched = [name[len(partition) + 1:] for name in _names(spark, work) if name.startswith(f"{partition}=")]
+    if touched:
+        batch = spark.read.schema(new.schema).parquet(work)
+        old = {value: version for value, version in held.items() if value in touched}
+        state = upsert(_read_parts(spark, path, old, partition), batch, [*keys, partition]) if old else batch
+        version = f"{VERSION}{number + 1:08d}"
+        state.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(f"{path}/{version}")
+        commit_manifest(spark, path, number + 1, {**held, **dict.fromkeys(touched, version)})
+    remove(spark, work)
+
+
+def committed_parts(spark: SparkSession, path: str) -> dict[str, str]:
+    """Partition value to the version folder that counts."""
+    return _last_manifest(spark, path)[1]
+
+
+def commit_manifest(spark: SparkSession, path: str, number: int, parts: dict[str, str]) -> None:
+    """Make ``parts`` the state of a folder. Fails if another writer has taken the number."""
+    target, fs = _folder(spark, f"{path}/{MANIFESTS}/{number:08d}.json")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFESTS}/_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(json.dumps(parts, sort_keys=True).encode())
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise RuntimeError(f"{path} was changed by another writer")
+    used = {version for n in range(max(1, number - KEPT_VERSIONS + 1), number + 1) for version in _manifest(spark, path, n).values()}
+    for name in _names(spark, path):
+        if name.startswith(VERSION) and name not in used and int(name[len(VERSION):]) <= number:
+            remove(spark, f"{path}/{name}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
+
+
+def _last_manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    numbers = [int(name[:-5]) for name in _names(spark, f"{path}/{MANIFESTS}") if name.endswith(".json")]
+    number = max(numbers, default=0)
+    return number, _manifest(spark, path, number) if number else {}
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, str]:
+    file, fs = _folder(spark, f"{path}/{MANIFESTS}/{number:08d}.json")
+    if not fs.exists(file):
+        return {}
+    stream = fs.open(file)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, str], partition: str) -> DataFrame:
+    folders = [f"{path}/{version}/{partition}={value}" for value, version in sorted(parts.items())]
+    return spark.read.option("basePath", path).parquet(*folders).drop(VERSION[:-1])
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    folder, fs = _folder(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -128,8 +206,3 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def _version_path(root: str, name: str, version: int) -> str:
     return f"{root}/{name}/{VERSION}{version:08d}"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tenorline.functions.dates import month_number, month_start, period_months, period_start
 from tenorline.functions.numbers import finite, safe_double
-from tenorline.schemas import LANDED, STAGING, conform_staging, require
+from tenorline.schemas import LANDED, STAGING, conform, conform_staging, require
 
 METADATA = ["category", "region", "frequency", "unit", "provider", "source_url"]
 
@@ -14,33 +14,44 @@ METADATA = ["category", "region", "frequency", "unit", "provider", "source_url"]
 IMPUTATION_METHOD = "median_pm_{half_width}_periods"
 IMPUTATION_NOTE = ("Filled using +/- {half_width} ", " median assumption.")
 
+POSITION_BITS = 30  # a payload is a text of 2 GB at most, so it lists fewer observations
+
 
 def stage_series(landed: DataFrame, on_bad_date: str = "raise", keep_non_finite: bool = False) -> DataFrame:
-    """Typed staging rows, one per series and period; the last listed value of a period wins.
+    """Typed staging rows, one per series and period; the latest fetch wins, and within it the value listed last.
 
     Values that are no numbers are dropped. A bad date on a numeric row stops the job, or drops the row
-    with ``on_bad_date="drop"``. Grouping includes the per-series metadata so that the aggregate keeps
-    primitive buffers and combines before the shuffle, whatever the size of one series.
+    with ``on_bad_date="drop"``. The first aggregate groups by the metadata too, so that it keeps primitive
+    buffers and combines before the shuffle, whatever the size of one series. The second takes the winner
+    among the few rows of a period whose payloads tell different metadata.
     """
-    require(landed, LANDED.names, "landed observations")
+    require(landed, [name for name in LANDED.names if name != "fetched_at"], "landed observations")
+    landed = conform(landed, LANDED)
     is_number = F.col("numeric_value").isNotNull() if keep_non_finite else finite(F.col("numeric_value")).isNotNull()
     typed = (
-        landed.select("series_id", *METADATA, "pos", "date", safe_double(F.col("value"), keep_non_finite).alias("numeric_value"))
+        landed.select("series_id", *METADATA, listing_order().alias("listed"), "date", safe_double(F.col("value"), keep_non_finite).alias("numeric_value"))
         # A date is only looked at where the value counts.
         .withColumn("observation_date", F.when(is_number, _observation_day(on_bad_date)))
     )
     # Rows that do not count have no order and so never win. Filtering them here would make the optimizer
     # evaluate the parsing expressions twice, so the groups left without a winner are dropped afterwards.
     collapsed = typed.groupBy("series_id", "observation_date", *METADATA).agg(
-        F.max_by("numeric_value", F.when(F.col("observation_date").isNotNull(), F.col("pos"))).alias("numeric_value"))
-    return conform_staging(collapsed.where(F.col("numeric_value").isNotNull()))
+        F.max_by("numeric_value", F.when(F.col("observation_date").isNotNull(), F.col("listed"))).alias("numeric_value"), F.max("listed").alias("listed"))
+    winner = F.max_by(F.struct("numeric_value", *METADATA), F.struct("listed", *METADATA)).alias("row")
+    rows = collapsed.where(F.col("numeric_value").isNotNull()).groupBy("series_id", "observation_date").agg(winner)
+    return conform_staging(rows.select("series_id", "observation_date", "row.*"))
+
+
+def listing_order() -> Column:
+    """Order of the observations of a series over its payloads: fetch time in seconds, then the position in the payload."""
+    return F.shiftleft(F.coalesce(F.unix_seconds("fetched_at"), F.lit(0)).cast("bigint"), POSITION_BITS) + F.col("pos")
 
 
 def raw_rows(landed: DataFrame, fetched_at: Column, on_bad_date: str = "raise") -> DataFrame:
-    """Raw rows of the landed observations: normalised date, value still text, last listed value wins."""
-    dated = (landed.select("series_id", _observation_day(on_bad_date).alias("observation_date"), "value", "pos")
+    """Raw rows of the landed observations: normalised date, value still text, latest fetch and last listed value win."""
+    dated = (conform(landed, LANDED).select("series_id", _observation_day(on_bad_date).alias("observation_date"), "value", listing_order().alias("listed"))
              .where(F.col("observation_date").isNotNull()))
-    return (dated.groupBy("series_id", "observation_date").agg(F.max_by("value", "pos").alias("value"))
+    return (dated.groupBy("series_id", "observation_date").agg(F.max_by("value", "listed").alias("value"))
             .withColumn("fetched_at", fetched_at))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenorline.functions.numbers import py_round
 from tenorline.operators.joins import salted_join
 from tenorline.operators.series import series_facts
+from tenorline.operators.staging import valid_rows
 from tenorline.schemas import REFERENCE_METRICS, TAYLOR, conform
 
 # Roles, units with a meaning of their own, and notes.
@@ -41,8 +42,8 @@ def inflation_rate(value: Column, unit: Column, yoy_pct: Column) -> Column:
 
 
 def region_facts(staging: DataFrame, roles: DataFrame) -> DataFrame:
-    """One row per region with one struct of series facts per role."""
-    facts = series_facts(staging)
+    """One row per region with one struct of series facts per role. Only series that have a role reach the windows."""
+    facts = series_facts(valid_rows(staging, roles))
     matched = salted_join(roles, facts, ["series_id"], "left").withColumn("fact", F.struct(
         "series_id", "less_headline", *[name for name in facts.columns if name != "series_id"]))
     return matched.groupBy("region").agg(*[

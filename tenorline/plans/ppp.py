@@ -17,6 +17,7 @@ from tenorline.functions.numbers import percent_change, py_round
 from tenorline.operators.dedupe import last_write_wins
 from tenorline.operators.joins import salted_join
 from tenorline.operators.runs import with_anchors
+from tenorline.operators.staging import valid_rows
 from tenorline.schemas import AVAILABILITY, PPP_PATHS, PPP_SNAPSHOTS, TABLES, conform
 
 # Statistics in output order, section and item keys, details, trailing months.
@@ -50,7 +51,7 @@ def monthly_inputs(staging: DataFrame, pairs: DataFrame) -> DataFrame:
     day = F.col("observation_date")
     note = F.when(F.col("is_imputed") & (F.col("imputation_note") != ""), F.col("imputation_note"))
     monthly = (
-        staging.where("is_valid")
+        valid_rows(staging, roles)
         .groupBy("series_id", month_number(day).alias("month_no"))
         .agg(F.max_by(F.struct("numeric_value", "source_url", note.alias("note"), day.alias("day")), day).alias("last"),
              F.max(F.when(F.dayofmonth(day) == 1, F.struct("numeric_value", "source_url", note.alias("note")))).alias("first"))

@@ -2,12 +2,14 @@
 
 Every refresh is idempotent: keyed upserts and replace-by-key writes give the same tables when a run is
 repeated after a failure. Results carry a status and the error lines as a DataFrame, since a run over many
-series may have many. Prepared staging rows are written before the marts read them, so each mart starts
-from a stored table instead of recomputing the landing pipeline.
+series may have many. Prepared staging rows and marts are written once to a work folder of the run and the
+domain, and what is stored, counted and compared starts from there; the folder is removed at the end. Of the
+staging rows only new and changed ones are upserted, so a refresh rewrites only their years.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,19 +32,18 @@ NO_SECTIONS = "No currency analysis sections could be built from the fetched inp
 def refresh_currency(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame, pairs: DataFrame,
                      tenors: DataFrame, run_at: datetime, pk_compat: bool = True) -> dict:
     """Currency marts. Failed series are tolerated; the run fails only if neither section has a row."""
-    prepared = _prepare(spark, root, landed, outcomes, run_at)
-    ppp, irp = currency_ppp(prepared, pairs, pk_compat), currency_irp(prepared, tenors)
-    availability = ppp.availability.unionByName(irp.availability)
     errors = incremental.fetch_errors(outcomes)
-    if availability.where("status = 'available'").isEmpty():
-        return {"status": "failed", "errors": local_frame(spark, [(None, NO_SECTIONS)], ERRORS) if errors.isEmpty() else errors}
-    with _run(spark, root, "currency-analysis", "currency_analysis", run_at):
-        _load_layers(spark, root, landed, outcomes, prepared, run_at)
-        for name, rows, keys in (
-            ("currency_ppp_snapshots", ppp.snapshots, ["pair_key"]), ("currency_ppp_paths", ppp.paths, ["pair_key"]),
-            ("currency_irp_snapshots", irp.snapshots, ["pair_key"]), ("currency_data_availability", availability, ["pair_key"]),
-        ):
-            _replace(spark, root, name, rows, keys)
+    with _work(spark, root, "currency_analysis", run_at) as keep:
+        prepared = keep("prepared", _prepare(spark, root, landed, outcomes))
+        ppp, irp = currency_ppp(prepared, pairs, pk_compat), currency_irp(prepared, tenors)
+        availability = keep("availability", ppp.availability.unionByName(irp.availability))
+        if availability.where("status = 'available'").isEmpty():
+            return {"status": "failed", "errors": local_frame(spark, [(None, NO_SECTIONS)], ERRORS) if errors.isEmpty() else errors}
+        with _run(spark, root, "currency-analysis", "currency_analysis", run_at):
+            _load_layers(spark, root, landed, outcomes, prepared, run_at)
+            for name, rows in (("currency_ppp_snapshots", ppp.snapshots), ("currency_ppp_paths", ppp.paths),
+                               ("currency_irp_snapshots", irp.snapshots), ("currency_data_availability", availability)):
+                _replace(spark, root, name, keep(name, rows), ["pair_key"])
     return {"status": "success", "fetch_errors": errors}
 
 
@@ -52,39 +53,62 @@ def refresh_macro(spark: SparkSession, root: str, landed: DataFrame, outcomes: D
     errors = incremental.fetch_errors(outcomes)
     if not errors.isEmpty():
         return {"status": "failed", "errors": errors}
-    prepared = _prepare(spark, root, landed, outcomes, run_at)
-    facts = region_facts(prepared, roles)
-    with _run(spark, root, "taylor-rule", "macro", run_at):
-        _load_layers(spark, root, landed, outcomes, prepared, run_at)
-        _replace(spark, root, "taylor_rule_inputs", taylor_from_facts(facts, parameters, fail_on_missing=True), ["region"])
-        _replace(spark, root, "macro_reference_metrics", metrics_from_facts(facts, fail_on_missing=True), ["region"])
+    with _work(spark, root, "macro", run_at) as keep:
+        prepared = keep("prepared", _prepare(spark, root, landed, outcomes))
+        facts = keep("facts", region_facts(prepared, roles))
+        with _run(spark, root, "taylor-rule", "macro", run_at):
+            _load_layers(spark, root, landed, outcomes, prepared, run_at)
+            _replace(spark, root, "taylor_rule_inputs", keep("taylor", taylor_from_facts(facts, parameters, fail_on_missing=True)), ["region"])
+            _replace(spark, root, "macro_reference_metrics", keep("metrics", metrics_from_facts(facts, fail_on_missing=True)), ["region"])
     return {"status": "success"}
 
 
 def refresh_equity(spark: SparkSession, root: str, payloads: DataFrame, markets: DataFrame, run_at: datetime,
                    run_date: date) -> dict:
     """Equity mart. Markets that cannot be read are reported and the others still written."""
-    result = valuation_snapshot(payloads, markets, F.lit(run_date))
     landed = conform(payloads.withColumn("fetched_at", F.lit(run_at)), EQUITY_PAYLOADS)
-    sinks.write_table(sinks.upsert(sinks.read_table(spark, root, "equity_payloads"), landed,
-                                   ["provider", "external_symbol", "fetched_at"]), root, "equity_payloads")
-    _replace(spark, root, "equity_market_valuation_snapshot", result.snapshots, ["market_id"])
-    summary = failure_summary(markets, result.snapshots, result.rejects, landed).first()
-    return {**summary.asDict(), "errors": result.rejects}
+    with _work(spark, root, "equity", run_at) as keep:
+        result = valuation_snapshot(payloads, markets, F.lit(run_date))
+        snapshots, rejects = keep("snapshots", result.snapshots), keep("rejects", result.rejects)
+        stored = sinks.upsert(sinks.read_table(spark, root, "equity_payloads"), landed, ["provider", "external_symbol", "fetched_at"])
+        sinks.write_table(stored, root, "equity_payloads")
+        _replace(spark, root, "equity_market_valuation_snapshot", snapshots, ["market_id"])
+        summary = failure_summary(markets, snapshots, rejects, landed).first()
+        errors = local_frame(spark, [tuple(row) for row in rejects.collect()], rejects.schema)
+    return {**summary.asDict(), "errors": errors}
 
 
 def append_seed(spark: SparkSession, root: str, seed: DataFrame) -> None:
     sinks.append_table(seed, root, "macro_series")
 
 
-def _prepare(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame, run_at: datetime) -> DataFrame:
-    """Current rows merged over the stored history and gap-filled, written as a work table of this run."""
-    fetched = outcomes.where("ok")
+def _prepare(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Current rows merged over the stored history and gap-filled."""
     metadata = sinks.read_table(spark, root, "series_metadata")
-    history = staging_for_series(sinks.read_staging(spark, root), metadata, fetched)
-    path = f"{root}/_prepared/{run_at:%Y%m%dT%H%M%S}"
-    fill_gaps(merge_staging(history, stage_series(landed))).write.mode("overwrite").parquet(path)
-    return conform(spark.read.parquet(path), STAGING)
+    history = staging_for_series(sinks.read_staging(spark, root), metadata, outcomes.where("ok"))
+    return conform(fill_gaps(merge_staging(history, stage_series(landed))), STAGING)
+
+
+def changed_rows(prepared: DataFrame, stored: DataFrame) -> DataFrame:
+    """Prepared staging rows that are not stored in the same form."""
+    keys = ["series_id", "observation_date"]
+    held = stored.select(*keys, F.struct(*STAGING.names).alias("_held"))
+    return prepared.join(held, keys, "left").where(~F.struct(*[F.col(n) for n in STAGING.names]).eqNullSafe(F.col("_held"))).select(*STAGING.names)
+
+
+@contextmanager
+def _work(spark: SparkSession, root: str, domain: str, run_at: datetime):
+    """Writes frames once to a work folder of the run, which is removed at the end."""
+    folder = f"{root}/_work/{domain}/{run_at:%Y%m%dT%H%M%S}"
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        yield keep
+    finally:
+        sinks.remove(spark, folder)
 
 
 def _load_layers(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame, prepared: DataFrame,
@@ -92,9 +116,8 @@ def _load_layers(spark: SparkSession, root: str, landed: DataFrame, outcomes: Da
     at = F.lit(run_at)
     fetched = outcomes.where("ok")
     sinks.write_table(incremental.write_metadata(sinks.read_table(spark, root, "series_metadata"), fetched, at), root, "series_metadata")
-    sinks.write_table(sinks.upsert(sinks.read_table(spark, root, "raw_observations"), raw_rows(landed, at),
-                                   ["series_id", "observation_date"]), root, "raw_observations")
-    sinks.upsert_staging(prepared, root)
+    sinks.upsert_yearly(raw_rows(landed, at), root, "raw_observations")
+    sinks.upsert_staging(changed_rows(prepared, sinks.read_staging(spark, root)), root)
     marks = incremental.high_water_marks(landed)
     sinks.write_table(incremental.write_checkpoints(sinks.read_table(spark, root, "series_checkpoints"), marks, at), root, "series_checkpoints")
 

@@ -39,10 +39,10 @@ TENOR_DIM = schema_of(
 )
 SEED = schema_of("series string!", "value double!", "as_of date!")
 
-# Landed observations: one row per observation of a payload, series metadata alongside.
+# Landed observations: one row per observation of a payload, series metadata and the fetch time alongside.
 LANDED = schema_of(
     "series_id string!", "category string", "region string", "frequency string", "unit string", "provider string",
-    "source_url string", "pos bigint", "date string", "value string",
+    "source_url string", "pos bigint", "date string", "value string", "fetched_at timestamp",
 )
 
 STAGING = schema_of(

@@ -1,7 +1,8 @@
 """Landed series payloads to observations.
 
-A payload frame has one row per provider response: ``series_id``, the series metadata and ``payload`` text.
-Parsing explodes it to one row per observation (``pos``, ``date``, ``value``, both texts unparsed).
+A payload frame has one row per provider response: ``series_id``, the series metadata, ``fetched_at`` and ``payload`` text.
+Parsing explodes it to one row per observation (``pos``, ``date``, ``value``, both texts unparsed). A payload is one row and
+so one task's work; files of up to 2 GB can be read.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ MISSING_MARK = "NA"
 
 _JSON_SCHEMA = "observations ARRAY<STRUCT<date: STRING, value: STRING>>"
 _ARRAYS_SCHEMA = "series STRUCT<docs: ARRAY<STRUCT<period_start_day: ARRAY<STRING>, value: ARRAY<STRING>>>>"
-_CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-LIMIT_SALTS = 32
+# Quoted parts may hold commas and line breaks. All repeats are possessive, so matching is linear in the text.
+_CSV_RECORD = r'(?:[^"\r\n]++|"[^"]*+(?:"|$))++'
+_CSV_CELL = r',((?:[^",]++|"[^"]*+(?:"|$))*+)'
+SLICE_ROWS = 100_000
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed files under ``path/series_id=<id>/``, one row per file."""
-    return spark.read.text(path, wholetext=True).select("series_id", F.col("value").alias("payload"))
+    """Landed files under ``path/series_id=<id>/``, one row per file; a file's time stands for its fetch."""
+    return spark.read.text(path, wholetext=True).select(
+        "series_id", F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("fetched_at"))
 
 
 def json_observations(payloads: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def csv_observations(payloads: DataFrame) -> DataFrame:
 
     Columns are found by name in each payload's own header, so payloads may differ in layout.
     """
-    lines = payloads.withColumn("_lines", F.split("payload", r"\r\n|\n|\r"))
+    lines = payloads.withColumn("_lines", F.regexp_extract_all("payload", F.lit(_CSV_RECORD), F.lit(0)))
     header = _cells(F.try_element_at(F.col("_lines"), F.lit(1)))
     placed = lines.withColumns({"_date_at": F.array_position(header, CSV_DATE).cast("int"),
                                 "_value_at": F.array_position(header, CSV_VALUE).cast("int")})
@@ -73,22 +77,24 @@ def request_window(landed: DataFrame, windows: DataFrame) -> DataFrame:
     """Keep what a request would have returned.
 
     ``windows`` has one row per series: inclusive ``start_date`` and ``end_date`` texts, ``max_rows``, and
-    ``keep`` (``first`` or ``last``). Null means no bound. Large series are joined in salted parts; limited rows
-    are ranked within salted slices of their series first and then among the survivors, so no task ever
-    holds a whole large series.
+    ``keep`` (``first`` or ``last``). Null means no bound. Large series are joined in salted parts. For a row
+    limit, rows are counted per slice of positions; running counts tell which slices are kept whole, and only
+    the rows of the slice in which the limit falls are ranked. No task orders a whole series.
     """
-    order = F.when(F.col("keep") == "last", -F.col("pos")).otherwise(F.col("pos"))
     bounded = salted_join(landed, windows, ["series_id"], "left").where(
         (F.col("start_date").isNull() | (F.col("date") >= F.col("start_date")))
         & (F.col("end_date").isNull() | (F.col("date") <= F.col("end_date"))))
-    limited = bounded.where("max_rows IS NOT NULL").withColumns({
-        "_order": order, "_salt": F.pmod(F.hash("pos"), F.lit(LIMIT_SALTS))})
-    slices = W.partitionBy("series_id", "_salt").orderBy("_order")
-    whole = W.partitionBy("series_id").orderBy("_order")
-    survivors = limited.withColumn("_rank", F.row_number().over(slices)).where("_rank <= max_rows")
-    kept = survivors.withColumn("_rank", F.row_number().over(whole)).where("_rank <= max_rows")
+    direction = F.when(F.col("keep") == "last", -1).otherwise(1)
+    limited = bounded.where("max_rows IS NOT NULL").withColumn("_slice", F.floor(F.col("pos") / SLICE_ROWS) * direction)
+    counts = limited.groupBy("series_id", "_slice", "max_rows").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy("series_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where("_before < max_rows").drop("max_rows")
+    rows = limited.join(slices, ["series_id", "_slice"])
+    inside = F.row_number().over(W.partitionBy("series_id", "_slice").orderBy(F.col("pos") * direction))
+    cut = rows.where("_before + _rows > max_rows").withColumn("_rank", inside).where("_before + _rank <= max_rows")
     columns = landed.columns
-    return bounded.where("max_rows IS NULL").select(columns).unionByName(kept.select(columns))
+    return bounded.where("max_rows IS NULL").select(columns).unionByName(
+        rows.where("_before + _rows <= max_rows").select(columns)).unionByName(cut.select(columns))
 
 
 def resolve_attempts(attempts: DataFrame, series: DataFrame) -> DataFrame:
@@ -127,7 +133,8 @@ def _landed(rows: DataFrame, day: Column, value: Column) -> DataFrame:
 
 
 def _cells(line: Column) -> Column:
-    unquoted = F.transform(F.split(line, _CSV_SPLIT, -1), lambda cell: F.regexp_replace(cell, r'^"|"$', ""))
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CSV_CELL), F.lit(1))
+    unquoted = F.transform(cells, lambda cell: F.regexp_replace(cell, r'^"|"$', ""))
     return F.transform(unquoted, lambda cell: F.replace(cell, F.lit('""'), F.lit('"')))
 
 

@@ -22,7 +22,8 @@ def stream_payloads(spark: SparkSession, landing: str, files_per_batch: int | No
     reader = spark.readStream.schema(PAYLOAD_FILES).option("wholetext", True)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.format("text").load(landing).select("series_id", F.col("value").alias("payload"))
+    return reader.format("text").load(landing).select(
+        "series_id", F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("fetched_at"))
 
 
 def load_available(payloads: DataFrame, series: DataFrame, parse: Callable[[DataFrame], DataFrame], root: str,

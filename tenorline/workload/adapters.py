@@ -48,11 +48,12 @@ def sql_month_no(x: str) -> str:
 
 # --- parts: one monthly index series per part, with holes and some imputed rows ---------------------------------
 
-def part_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_months(spark: SparkSession, sf_dir: str, holes: bool = True) -> DataFrame:
+    """Monthly prices of the parts; with ``holes`` a sixth of the months is missing, for operators on gaps."""
     monthly = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.trunc("l_shipdate", "MM").alias("observation_date")).agg(
         exact_mean("l_extendedprice").alias("numeric_value"))
     phase = month_number(F.col("observation_date")) + F.col("l_partkey")
-    return conform_staging(monthly.where(phase % 6 != 0).select(
+    return conform_staging((monthly.where(phase % 6 != 0) if holes else monthly).select(
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("series_id"), "observation_date", "numeric_value",
         F.lit("inflation").alias("category"), F.lit("ALL").alias("region"), F.lit("monthly").alias("frequency"),
         F.lit("index").alias("unit"), F.lit("lineitem").alias("provider"), F.lit("table:lineitem").alias("source_url"),
@@ -66,6 +67,7 @@ PART_MONTHS = f"""
                      {sql_mean('l_extendedprice')} AS v
               FROM lineitem GROUP BY ALL)
         WHERE (m + k) % 6 <> 0)"""
+ALL_PART_MONTHS = PART_MONTHS.replace("WHERE (m + k) % 6 <> 0)", ")")
 
 
 # --- suppliers: one series per supplier, of monthly, quarterly, annual or daily frequency -----------------------

@@ -85,10 +85,10 @@ def observed_columns(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """One view request per customer, with absent, unknown and known parameters in turn."""
-    k = F.col("c_custkey")
+    """One view request per customer, spread over all pairs, with absent, unknown and known parameters in turn."""
+    k, pairs = F.col("c_custkey"), a.table(spark, sf_dir, "supplier").count()
     return a.table(spark, sf_dir, "customer").select(
-        k.alias("request_id"), F.concat(F.lit("pair-"), (k % 10).cast("string")).alias("pair_key"),
+        k.alias("request_id"), F.concat(F.lit("pair-"), (k % pairs).cast("string")).alias("pair_key"),
         F.when(k % 5 != 0, (F.lit(1994) + k % 9).cast("string")).alias("base_year"),
         F.when(k % 3 == 0, "year").when(k % 3 == 1, "window").otherwise("other").alias("anchor_kind"),
         F.when(k % 2 == 0, "median").otherwise("mean").alias("anchor_statistic"),
@@ -107,6 +107,18 @@ def selected_summary(spark, sf_dir):
     return summary.select("request_id", "anchor_label", "anchor_start_month", "implied_ppp", "deviation_pct")
 
 
+def currency_view_path(spark, sf_dir):
+    """Path rows of the snapshot that each request selects."""
+    snapshots = _snapshots(spark, sf_dir)
+    summary = views.ppp_summary(views.select_anchor(_requests(spark, sf_dir), snapshots), snapshots)
+    return views.ppp_view_path(summary, _paths(spark, sf_dir)).select("request_id", "observation_month", "actual_spot", "implied_ppp", "has_imputed_inputs")
+
+
+def pair_listing(spark, sf_dir):
+    """Snapshots of the one pair that is asked for."""
+    return views.pair_rows(_snapshots(spark, sf_dir), "pair-1").select("pair_key", "anchor_seq", "as_of_month", "current_spot")
+
+
 def recent_gap(spark, sf_dir):
     """Last twelve path points of every anchor."""
     keyed = _paths(spark, sf_dir).withColumn("anchor", F.concat("pair_key", F.lit("/"), F.col("anchor_seq").cast("string")))
@@ -130,20 +142,22 @@ def spot_history(spark, sf_dir):
 
 def chart_range(spark, sf_dir):
     """Months in range of every part: ten years back, which drops nothing here, and a range that leaves one row."""
-    months = a.part_months(spark, sf_dir).select("series_id", "observation_date", "numeric_value")
+    months = a.part_months(spark, sf_dir, holes=False).select("series_id", "observation_date", "numeric_value")
     # Spread the months of each part over forty years so that the cut has something to drop.
     spread = months.select("series_id", "numeric_value", F.add_months(F.lit("1970-01-01").cast("date"), (F.year("observation_date") - 1995) * 72 + F.month("observation_date") * 5).alias("observation_month"))
     return views.chart_range(spread, "10Y", "series_id")
 
 
 def year_ticks(spark, sf_dir):
-    months = a.part_months(spark, sf_dir).select("series_id", F.col("observation_date").alias("observation_month"))
+    months = a.part_months(spark, sf_dir, holes=False).select("series_id", F.col("observation_date").alias("observation_month"))
     return views.year_ticks(months, 4, key="series_id")
 
 
 def page_as_of(spark, sf_dir):
     """First parity date of every customer's pair, else the snapshot month of the supplier's pair of the same number."""
-    snapshots = irp.irp_snapshots(irp.tenor_inputs(a.tenor_observations(spark, sf_dir), a.tenor_dim(spark, sf_dir))).where(F.length("pair_key") % 2 == 0)
+    snapshots = irp.irp_snapshots(irp.tenor_inputs(a.tenor_observations(spark, sf_dir), a.tenor_dim(spark, sf_dir)))
+    # Pairs with a key of odd length have no parity date, so that the other side is used as well.
+    snapshots = snapshots.withColumn("as_of_date", F.when(F.length("pair_key") % 2 == 0, F.col("as_of_date")))
     summary = _snapshots(spark, sf_dir).select(F.replace("pair_key", F.lit("pair-"), F.lit("fx-")).alias("pair_key"), "as_of_month")
     pairs = a.tenor_dim(spark, sf_dir).select("pair_key").distinct()
     return views.page_as_of(pairs, snapshots, summary)
@@ -199,7 +213,7 @@ PPP_SQL = f"""
                max(base_year) FILTER (anchor_kind = 'year') AS last_year, arg_max(anchor_window_code, anchor_seq) FILTER (anchor_kind = 'window') AS last_window
         FROM snapshots GROUP BY ALL),
     requests AS (
-        SELECT c_custkey AS request_id, 'pair-' || CAST(c_custkey % 10 AS VARCHAR) AS pair_key,
+        SELECT c_custkey AS request_id, 'pair-' || CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS pair_key,
                CASE WHEN c_custkey % 5 <> 0 THEN CAST(1994 + c_custkey % 9 AS VARCHAR) END AS want_year, c_custkey % 3 = 0 AS want_kind_year,
                CASE c_custkey % 2 WHEN 0 THEN 'median' ELSE 'average' END AS anchor_statistic,
                CASE c_custkey % 7 WHEN 0 THEN '5Y' WHEN 1 THEN '5Y' WHEN 2 THEN '20Y' WHEN 3 THEN 'MAX' WHEN 4 THEN '1Y' END AS want_window FROM customer),
@@ -230,7 +244,7 @@ _IRP_SQL = f"""
 
 QUERIES = {f.__name__: f for f in (
     ppp_snapshot, ppp_path, ppp_stored_keys, currency_availability, irp_tenors, rate_staleness, irp_view_rows, irp_references, observed_columns,
-    anchor_selection, selected_summary, recent_gap, ppp_takeaway, ppp_references, spot_history, chart_range, year_ticks, page_as_of)}
+    anchor_selection, selected_summary, currency_view_path, pair_listing, recent_gap, ppp_takeaway, ppp_references, spot_history, chart_range, year_ticks, page_as_of)}
 
 ORACLES = {
     "ppp_snapshot": PPP_SQL + """
@@ -282,6 +296,11 @@ ORACLES = {
                s.anchor_start_month, s.implied_ppp, s.deviation_pct
         FROM selection q JOIN snapshots s ON s.pair_key = q.pair_key AND s.anchor_statistic = q.anchor_statistic AND s.anchor_kind = q.selected_anchor_kind
              AND ((s.anchor_kind = 'window' AND s.anchor_window_code = q.selected_window_code) OR (s.anchor_kind = 'year' AND s.base_year = q.selected_base_year))""",
+    "currency_view_path": PPP_SQL + """
+        SELECT q.request_id, make_date(p.m // 12, p.m % 12 + 1, 1) AS observation_month, p.actual AS actual_spot, p.implied AS implied_ppp, p.imputed AS has_imputed_inputs
+        FROM selection q JOIN paths p ON p.pair_key = q.pair_key AND p.stat = q.anchor_statistic AND p.kind = q.selected_anchor_kind
+             AND ((p.kind = 'window' AND p.code = q.selected_window_code) OR (p.kind = 'year' AND p.y = q.selected_base_year))""",
+    "pair_listing": PPP_SQL + " SELECT pair_key, anchor_seq, as_of_month, current_spot FROM snapshots WHERE pair_key = 'pair-1'",
     "recent_gap": PPP_SQL + """
         SELECT pair_key || '/' || CAST(seq AS VARCHAR) AS anchor, make_date(m // 12, m % 12 + 1, 1) AS observation_month,
                printf('%.2f', (actual / implied - 1) * 100) AS gap_text, imputed AS has_imputed_inputs FROM ranked WHERE back <= 12""",
@@ -298,14 +317,14 @@ ORACLES = {
     "spot_history": PPP_SQL + """
         SELECT DISTINCT pair_key, make_date(m // 12, m % 12 + 1, 1) AS observation_month, actual AS actual_spot FROM paths""",
     "chart_range": f"""
-        WITH {a.PART_MONTHS},
+        WITH {a.ALL_PART_MONTHS},
         h AS (SELECT series_id, v, CAST(DATE '1970-01-01' + to_months(CAST((year(d) - 1995) * 72 + month(d) * 5 AS INTEGER)) AS DATE) AS m FROM part_months),
         l AS (SELECT series_id, max(m) AS lm, count(*) AS n FROM h GROUP BY series_id),
         f AS (SELECT h.*, l.n, m >= lm - INTERVAL 120 MONTH AS inside FROM h JOIN l USING (series_id)),
         c AS (SELECT series_id, count(*) FILTER (inside) AS kept FROM f GROUP BY series_id)
         SELECT f.series_id, f.v AS numeric_value, f.m AS observation_month FROM f JOIN c USING (series_id) WHERE f.n >= 2 AND (f.inside OR c.kept < 2)""",
     "year_ticks": f"""
-        WITH {a.PART_MONTHS},
+        WITH {a.ALL_PART_MONTHS},
         j AS (SELECT series_id, d, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM part_months WHERE month(d) = 1)
         SELECT series_id, d AS observation_month FROM j WHERE n <= 4 OR i % CAST(ceil((n - 1) / 3.0) AS BIGINT) = 0""",
     "page_as_of": PPP_SQL.replace("WITH ", f"WITH {a.TENOR_ROWS},", 1) + """,

@@ -99,7 +99,7 @@ def merge_history(spark, sf_dir):
 
 
 def units_per_series(spark, sf_dir):
-    mixed = a.part_months(spark, sf_dir).withColumn("unit", F.when(F.month("observation_date") < F.length("series_id"), "index").otherwise("percent"))
+    mixed = a.part_months(spark, sf_dir, holes=False).withColumn("unit", F.when(F.month("observation_date") < F.length("series_id"), "index").otherwise("percent"))
     return staging.units_per_series(mixed).select("series_id", F.concat_ws(",", "units").alias("units"), F.col("rows"))
 
 
@@ -112,7 +112,7 @@ def yoy_rate(spark, sf_dir):
 
 
 def qoq_annualised(spark, sf_dir):
-    return series.qoq_annualised(a.part_months(spark, sf_dir))
+    return series.qoq_annualised(a.part_months(spark, sf_dir, holes=False))
 
 
 def growth_summary(spark, sf_dir):
@@ -126,7 +126,7 @@ def month_islands(spark, sf_dir):
 
 def anchor_windows(spark, sf_dir):
     months = a.part_months(spark, sf_dir).select("series_id", "observation_date").unionByName(
-        a.supplier_periods(spark, sf_dir).where("frequency = 'monthly'").select("series_id", "observation_date")).unionByName(
+        a.supplier_periods(spark, sf_dir).select("series_id", F.trunc("observation_date", "MM").alias("observation_date")).distinct()).unionByName(
         a.role_observations(spark, sf_dir).where("unit = 'level'").select("series_id", "observation_date"))
     return runs.anchor_windows(months, "series_id", "observation_date")
 
@@ -163,7 +163,7 @@ _RATED = f"""
 _ANCHOR_SQL = f"""
     WITH {a.PART_MONTHS}, {a.SUPPLIER_PERIODS}, {a.ROLE_OBSERVATIONS},
     months AS (SELECT series_id, {sql_month_no('d')} AS m FROM part_months UNION ALL
-               SELECT series_id, {sql_month_no('d')} FROM supplier_periods WHERE frequency = 'monthly' UNION ALL
+               SELECT DISTINCT series_id, {sql_month_no('d')} FROM supplier_periods UNION ALL
                SELECT region || '-gdp', {sql_month_no('d')} FROM role_obs WHERE role = 'gdp'),
     islands AS (SELECT series_id, m, m - row_number() OVER (PARTITION BY series_id ORDER BY m) AS island FROM months),
     run_spans AS (SELECT series_id, min(m) AS s, max(m) AS e, count(*) AS n FROM islands GROUP BY series_id, island),
@@ -215,13 +215,13 @@ ORACLES = {
         SELECT 'part-' || CAST(k AS VARCHAR) AS series_id, d AS observation_date, v AS numeric_value, s AS provider
         FROM both_sides QUALIFY row_number() OVER (PARTITION BY k, d ORDER BY s DESC) = 1""",
     "units_per_series": f"""
-        WITH {a.PART_MONTHS}, u AS (SELECT series_id, CASE WHEN month(d) < length(series_id) THEN 'index' ELSE 'percent' END AS unit FROM part_months)
+        WITH {a.ALL_PART_MONTHS}, u AS (SELECT series_id, CASE WHEN month(d) < length(series_id) THEN 'index' ELSE 'percent' END AS unit FROM part_months)
         SELECT series_id, string_agg(DISTINCT unit, ',' ORDER BY unit) AS units, count(*) AS rows FROM u GROUP BY series_id HAVING count(DISTINCT unit) > 1""",
     "latest_per_series": f"""
         WITH {a.CUSTOMER_DAYS} SELECT series_id, max(d) AS observation_date, arg_max(v, d) AS numeric_value FROM customer_days WHERE is_valid GROUP BY series_id""",
     "yoy_rate": f"""{_RATED} SELECT series_id, d AS observation_date, v AS numeric_value, year_ago AS year_ago_value,
         {sql_round('(v / year_ago - 1) * 100', 2)} AS yoy_pct FROM rated WHERE year_ago IS NOT NULL""",
-    "qoq_annualised": f"""{_RATED} SELECT series_id, d AS observation_date, v AS numeric_value, previous AS previous_value,
+    "qoq_annualised": f"""{_RATED.replace(a.PART_MONTHS, a.ALL_PART_MONTHS)} SELECT series_id, d AS observation_date, v AS numeric_value, previous AS previous_value,
         {sql_round('(pow(v / previous, 4) - 1) * 100', 2)} AS qoq_annualized_pct FROM rated WHERE previous IS NOT NULL""",
     "growth_summary": f"""
         WITH {a.SUPPLIER_PERIODS},

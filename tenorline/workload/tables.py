@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenorline.operators import dedupe, sinks
+from tenorline.operators.staging import valid_rows
 from tenorline.plans import incremental, views
+from tenorline.session import checkpoint_root
 from tenorline.sources.tables import staging_for_series
 from tenorline.workload import adapters as a
 from tenorline.workload.adapters import sql_month
@@ -31,18 +35,17 @@ def upsert_rows(spark, sf_dir):
 
 
 def replace_by_key(spark, sf_dir):
-    keys = a.table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_custkey % 3 = 0").select(
-        "o_custkey", F.trunc("o_orderdate", "MM").alias("month"), "o_orderkey", "o_totalprice", "o_orderpriority")
-    return sinks.replace_by_key(_orders(spark, sf_dir, "F"), keys, ["o_custkey"])
+    """Settled and open orders, with those of every customer that has a pending one replaced by the pending ones."""
+    return sinks.replace_by_key(_orders(spark, sf_dir, "F", "O"), _orders(spark, sf_dir, "P"), ["o_custkey"])
 
 
 def append_rows(spark, sf_dir):
     rows = _orders(spark, sf_dir, "F").select("o_custkey", "month")
-    return sinks.append(rows, _orders(spark, sf_dir, "O").select("o_custkey", "month"))
+    return sinks.append(rows, _orders(spark, sf_dir, "O", "P").select("o_custkey", "month"))
 
 
-def _marks(spark, sf_dir, status):
-    return a.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).groupBy(
+def _marks(spark, sf_dir, *statuses):
+    return a.table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(*statuses)).groupBy(
         F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("series_id")).agg(F.max(F.to_date("o_orderdate")).alias("last_observation_date"))
 
 
@@ -50,7 +53,7 @@ def checkpoints(spark, sf_dir):
     """Checkpoint rows after a run, as the default overwrites them and as the monotone option keeps them."""
     stored = incremental.write_checkpoints(_empty(spark), _marks(spark, sf_dir, "F"), F.lit(EARLIER).cast("timestamp"))
     run_at = F.lit(RUN_AT).cast("timestamp")
-    new = _marks(spark, sf_dir, "O")
+    new = _marks(spark, sf_dir, "O", "P")
     plain = incremental.write_checkpoints(stored, new, run_at).select("series_id", F.col("last_successful_observation_date").alias("overwritten"), F.to_date("last_run_at").alias("run_day"))
     kept = incremental.write_checkpoints(stored, new, run_at, monotone=True).select("series_id", F.col("last_successful_observation_date").alias("monotone"))
     return plain.join(kept, "series_id")
@@ -79,9 +82,9 @@ def fetch_plan(spark, sf_dir):
 
 
 def staging_scan(spark, sf_dir):
-    """Stored rows of half of the parts with their address."""
-    wanted = a.table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("series_id"))
-    rows = staging_for_series(a.part_months(spark, sf_dir), _series(spark, sf_dir), wanted)
+    """Stored rows of the parts with their address."""
+    wanted = a.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("series_id"))
+    rows = staging_for_series(a.part_months(spark, sf_dir, holes=False), _series(spark, sf_dir), wanted)
     return rows.select("series_id", "observation_date", "numeric_value", "source_url")
 
 
@@ -94,7 +97,7 @@ def series_metadata(spark, sf_dir):
     from tenorline.schemas import SERIES_METADATA, conform
     at = F.lit(EARLIER).cast("timestamp")
     stored = conform(base.where(k % 3 != 0).withColumns({"key": F.concat(F.lit("first-"), "series_id"), "label": F.lit("old"), "created_at": at, "updated_at": at}), SERIES_METADATA)
-    after = incremental.write_metadata(stored, base.where(k % 2 == 0), F.lit(RUN_AT).cast("timestamp"))
+    after = incremental.write_metadata(stored, base.where((k % 2 == 0) | (k % 3 == 0)), F.lit(RUN_AT).cast("timestamp"))
     return after.select("series_id", "key", "label", F.to_date("created_at").alias("created"), F.to_date("updated_at").alias("updated"))
 
 
@@ -147,7 +150,39 @@ def save_named(spark, sf_dir):
     return dedupe.save_named(rows, again)
 
 
+def payload_upsert(spark, sf_dir):
+    """Landed payloads keyed by provider, symbol and fetch time: all orders over the settled ones stored before."""
+    def payloads(mark, *statuses):
+        rows = a.table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(*statuses))
+        return rows.select(F.col("o_orderpriority").alias("provider"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("external_symbol"),
+                           F.to_date("o_orderdate").cast("timestamp").alias("fetched_at"), F.concat(F.lit(f'{{"{mark}":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("payload_json"))
+
+    state = sinks.upsert(payloads("old", "F"), payloads("new", "F", "O", "P"), ["provider", "external_symbol", "fetched_at"])
+    return state.select("provider", "external_symbol", F.to_date("fetched_at").alias("fetched_on"), "payload_json")
+
+
+def csv_round_trip(spark, sf_dir):
+    """Orders exported as CSV and read back, with quotes, commas, blanks and line breaks in a cell."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 4 == 0, 'say "x", ok').when(k % 4 == 1, " padded ").when(k % 4 == 2, "two\nlines").otherwise(F.col("o_orderpriority"))
+    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    sinks.export_csv(a.table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_totalprice"), path)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    return reader.schema("o_orderkey long, note string, o_totalprice double").csv(path)
+
+
+def valid_series_rows(spark, sf_dir):
+    """Valid rows of the supplier series that are listed as monthly, quarterly or annual."""
+    rows = a.supplier_periods(spark, sf_dir).withColumn("is_valid", F.col("numeric_value") > 60)
+    return valid_rows(rows, rows.where("frequency <> 'daily'")).select("series_id", "observation_date", "numeric_value")
+
+
+def latest_as_of(spark, sf_dir):
+    return views.latest_as_of(a.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("as_of")))
+
+
 QUERIES = {f.__name__: f for f in (
+    payload_upsert, csv_round_trip, valid_series_rows, latest_as_of,
     last_write_wins, upsert_rows, replace_by_key, append_rows, checkpoints, fetch_plan, staging_scan, series_metadata, run_log, run_errors, output_counts, top_metrics,
     dedupe_references, dedupe_urls, save_named)}
 
@@ -155,6 +190,14 @@ _LAST = "QUALIFY row_number() OVER (PARTITION BY o_custkey, month ORDER BY o_ord
 _COLUMNS = f"o_custkey, {sql_month('o_orderdate')} AS month, o_orderkey, o_totalprice, o_orderpriority"
 
 ORACLES = {
+    "payload_upsert": """
+        SELECT o_orderpriority AS provider, 'order-' || CAST(o_orderkey AS VARCHAR) AS external_symbol, CAST(o_orderdate AS DATE) AS fetched_on,
+               '{"new":' || CAST(o_orderkey AS VARCHAR) || '}' AS payload_json FROM orders""",
+    "csv_round_trip": """
+        SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'say "x", ok' WHEN 1 THEN ' padded ' WHEN 2 THEN 'two' || chr(10) || 'lines' ELSE o_orderpriority END AS note, o_totalprice FROM orders""",
+    "valid_series_rows": f"""
+        WITH {a.SUPPLIER_PERIODS} SELECT series_id, d AS observation_date, v AS numeric_value FROM supplier_periods WHERE v > 60 AND frequency <> 'daily'""",
+    "latest_as_of": "SELECT max(CAST(o_orderdate AS DATE)) AS as_of FROM orders",
     "last_write_wins": f"SELECT {_COLUMNS} FROM orders {_LAST}",
     "upsert_rows": f"""
         WITH stored AS (SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'F' {_LAST}), batch AS (SELECT {_COLUMNS} FROM orders WHERE o_orderstatus IN ('O', 'P') {_LAST})
@@ -162,11 +205,11 @@ ORACLES = {
                coalesce(b.o_totalprice, s.o_totalprice) AS o_totalprice, coalesce(s.o_orderpriority, b.o_orderpriority) AS o_orderpriority
         FROM stored s FULL OUTER JOIN batch b ON b.o_custkey = s.o_custkey AND b.month = s.month""",
     "replace_by_key": f"""
-        WITH batch AS (SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 3 = 0)
-        SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM batch) UNION ALL SELECT * FROM batch""",
-    "append_rows": f"SELECT o_custkey, {sql_month('o_orderdate')} AS month FROM orders WHERE o_orderstatus IN ('F', 'O')",
+        WITH batch AS (SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'P')
+        SELECT {_COLUMNS} FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT o_custkey FROM batch) UNION ALL SELECT * FROM batch""",
+    "append_rows": f"SELECT o_custkey, {sql_month('o_orderdate')} AS month FROM orders",
     "checkpoints": f"""
-        WITH m AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS f, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1)
+        WITH m AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS f, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus <> 'F') AS o FROM orders GROUP BY 1)
         SELECT 'customer-' || CAST(k AS VARCHAR) AS series_id, coalesce(o, f) AS overwritten, greatest(o, f) AS monotone,
                CAST(CASE WHEN o IS NULL THEN '{EARLIER}' ELSE '{RUN_AT}' END AS DATE) AS run_day FROM m WHERE o IS NOT NULL OR f IS NOT NULL""",
     "fetch_plan": """
@@ -179,13 +222,13 @@ ORACLES = {
                     ELSE strftime(start_date, '%Y-%m-%d') END AS request_start,
                CASE frequency WHEN 'monthly' THEN '2002-06' WHEN 'quarterly' THEN '2002-Q2' ELSE '2002-06-30' END AS request_end FROM t""",
     "staging_scan": f"""
-        WITH {a.PART_MONTHS} SELECT m.series_id, d AS observation_date, v AS numeric_value, 'table:part/' || CAST(p_partkey AS VARCHAR) AS source_url
-        FROM part_months m JOIN part ON m.series_id = 'part-' || CAST(p_partkey AS VARCHAR) WHERE p_size % 2 = 0""",
+        WITH {a.ALL_PART_MONTHS} SELECT m.series_id, d AS observation_date, v AS numeric_value, 'table:part/' || CAST(p_partkey AS VARCHAR) AS source_url
+        FROM part_months m JOIN part ON m.series_id = 'part-' || CAST(p_partkey AS VARCHAR)""",
     "series_metadata": f"""
         SELECT 'part-' || CAST(k AS VARCHAR) AS series_id, CASE WHEN k % 3 <> 0 THEN 'first-' ELSE '' END || 'part-' || CAST(k AS VARCHAR) AS key,
-               CASE WHEN k % 2 = 0 THEN p_name ELSE 'old' END AS label, CAST(CASE WHEN k % 3 <> 0 THEN '{EARLIER}' ELSE '{RUN_AT}' END AS DATE) AS created,
-               CAST(CASE WHEN k % 2 = 0 THEN '{RUN_AT}' ELSE '{EARLIER}' END AS DATE) AS updated
-        FROM (SELECT p_partkey AS k, p_name FROM part) WHERE k % 3 <> 0 OR k % 2 = 0""",
+               CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN p_name ELSE 'old' END AS label, CAST(CASE WHEN k % 3 <> 0 THEN '{EARLIER}' ELSE '{RUN_AT}' END AS DATE) AS created,
+               CAST(CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN '{RUN_AT}' ELSE '{EARLIER}' END AS DATE) AS updated
+        FROM (SELECT p_partkey AS k, p_name FROM part)""",
     "run_log": f"""
         SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_orderdate AS DATE) AS started, CASE WHEN o_orderstatus <> 'P' THEN CAST('{RUN_AT}' AS DATE) END AS finished,
                CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'success' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'O' THEN 'open order' END AS error_summary FROM orders""",

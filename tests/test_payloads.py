@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import dicts
@@ -136,3 +137,29 @@ def test_equity_mart_and_views(spark):
     assert (matrix["measured_label"], matrix["metrics"]["trailing_pe"]["method"], matrix["metrics"]["price_to_free_cash_flow"]["value"]) == ("ETF proxy", "provider_trailing_pe", None)
     assert views.equity_references(result.snapshots).first()["label"] == "United States Total Market valuation source"
     assert views.latest_as_of(result.snapshots).first()["as_of"] == date(2026, 7, 16)
+
+
+def test_quoted_line_breaks_and_commas_stay_in_their_cell(spark):
+    text = 'TITLE,TIME_PERIOD,OBS_VALUE\r\n"a\r\nb, ""c""",2026-01,1\r\n\r\n,2026-02,"2"\nplain,"2026-03",3\r\n"open,2026-04,4'
+    rows = dicts(obs.csv_observations(spark.createDataFrame([("s", text)], "series_id string, payload string")), "pos")
+    assert [(r["date"], r["value"]) for r in rows] == [("2026-01", "1"), ("2026-02", "2"), ("2026-03", "3")]
+
+
+def test_long_csv_lines_parse_in_linear_time(spark):
+    text = "TIME_PERIOD,OBS_VALUE,NOTE\n" + "".join(f'2026-{m:02d},{m},"' + 'x,""y"" ' * 20000 + '"\n' for m in range(1, 6))
+    rows = dicts(obs.csv_observations(spark.createDataFrame([("s", text)], "series_id string, payload string")), "pos")
+    assert [r["value"] for r in rows] == ["1", "2", "3", "4", "5"]
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+@pytest.mark.parametrize("max_rows", [1, 4, 5, 499, 700, 5000])
+def test_row_limits_of_a_series_that_holds_most_rows(spark, monkeypatch, keep, max_rows):
+    monkeypatch.setattr(obs, "SLICE_ROWS", 50)
+    rows = [("hot", p, "2026-01-01") for p in range(1000)] + [("cold", p, "2026-01-01") for p in range(3)] + [("free", p, "2026-01-01") for p in range(3)]
+    landed = spark.createDataFrame(rows, "series_id string, pos bigint, date string")
+    windows = spark.createDataFrame([("hot", None, None, max_rows, keep), ("cold", None, None, 2, keep), ("free", None, None, None, None)], "series_id string, start_date string, end_date string, max_rows int, keep string")
+    got = {}
+    for r in obs.request_window(landed, windows).collect():
+        got.setdefault(r.series_id, []).append(r.pos)
+    cut = (lambda n, size: list(range(min(n, size)))) if keep == "first" else (lambda n, size: list(range(max(0, size - n), size)))
+    assert {k: sorted(v) for k, v in got.items()} == {"hot": cut(max_rows, 1000), "cold": cut(2, 3), "free": [0, 1, 2]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import math
 import re
+from datetime import date
 from pathlib import Path
 
 import duckdb
@@ -66,11 +67,26 @@ def test_gap_filling_shuffles_once_by_series(spark, tmp_path):
     assert only.startswith("series_id")
 
 
-def test_staging_combines_before_its_only_shuffle(spark, tmp_path):
+def test_staging_combines_before_its_first_shuffle(spark, tmp_path):
     spark.createDataFrame([], LANDED).write.parquet(str(tmp_path / "l"))
     df = stage_series(spark.read.parquet(str(tmp_path / "l")))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert len(exchanges(df)) == 1 and "partial_max_by" in plan and "SortAggregate" not in plan
+    assert len(exchanges(df)) == 2
+    combining = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "HashAggregate" in combining and "partial_max_by" in combining and "SortAggregate" not in combining
+
+
+@pytest.mark.parametrize("mart", ["macro", "irp", "ppp"])
+def test_series_that_are_not_configured_reach_no_window(spark, staging, mart):
+    from tenorline import catalog
+    from tenorline.plans import irp, macro
+
+    days = [{"series_id": s, "observation_date": f"2026-0{m}-01", "numeric_value": 1.0} for s in ("stray", "us_cpi_index") for m in (1, 2)]
+    rows = staging([{**r, "observation_date": date.fromisoformat(r["observation_date"])} for r in days])
+    df = {"macro": lambda: macro.region_facts(rows, catalog.region_roles(spark)), "irp": lambda: irp.tenor_inputs(rows, catalog.tenor_dim(spark)),
+          "ppp": lambda: ppp.monthly_inputs(rows, catalog.pair_dim(spark))}[mart]()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and all("LeftSemi" in plan[m.start():] for m in re.finditer(r"Window|max_by", plan))
 
 
 def test_parity_path_joins_no_months_with_months(spark, tmp_path):

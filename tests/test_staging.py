@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from datetime import date
+from datetime import date, datetime
 from statistics import median
 
 import pytest
@@ -15,7 +15,7 @@ from tenorline.schemas import LANDED
 
 
 def landed(spark, frequency, *rows):
-    return local_frame(spark, [("s", "c", "r", frequency, "u", "p", "url", i, d, v) for i, (d, v) in enumerate(rows)], LANDED)
+    return local_frame(spark, [("s", "c", "r", frequency, "u", "p", "url", i, d, v, None) for i, (d, v) in enumerate(rows)], LANDED)
 
 
 def test_daily_rows_keep_their_days(spark):
@@ -116,3 +116,25 @@ def test_audit_and_valid_rows(spark, staging):
     assert [(r["series_id"], r["units"]) for r in dicts(units_per_series(rows), "series_id")] == [("a", ["index", "percent"])]
     wanted = spark.createDataFrame([("a",), ("b",)], "series_id string")
     assert valid_rows(rows, wanted).count() == 2
+
+
+def test_a_later_fetch_wins_whatever_its_position(spark):
+    old, new = datetime(2026, 4, 1, 6), datetime(2026, 5, 1, 6)
+    rows = [("s", "c", "r", "monthly", "index", "p", "url", 2, "2026-03-01", "3", old), ("s", "c", "r", "monthly", "index", "p", "url", 0, "2026-03-01", "99", new)]
+    for listed in (rows, rows[::-1]):
+        (row,) = dicts(stage_series(local_frame(spark, listed, LANDED)), "observation_date")
+        assert row["numeric_value"] == 99.0
+        assert [r["value"] for r in dicts(raw_rows(local_frame(spark, listed, LANDED), F.lit("2026-06-01").cast("timestamp")), "observation_date")] == ["99"]
+
+
+def test_one_row_per_key_with_the_metadata_of_the_winner(spark):
+    old, new = datetime(2026, 4, 1, 6), datetime(2026, 5, 1, 6)
+    rows = [("s", "c", "r", "monthly", "index", "p", "url", 0, "2026-03-01", "1", old), ("s", "c", "r", "monthly", "percent", "p", "url2", 0, "2026-03-01", "2", new), ("s", "c", "r", "monthly", "percent", "p", "url2", 1, "2026-04-01", ".", new)]
+    (row,) = dicts(stage_series(local_frame(spark, rows, LANDED)), "observation_date")
+    assert (row["numeric_value"], row["unit"], row["source_url"]) == (2.0, "percent", "url2")
+
+
+def test_white_space_around_numbers(spark):
+    texts = ["\t1", " 2 ", "\n 3 \x1f", "4 4", "​5"]
+    rows = [("s", "c", "r", "daily", "u", "p", "url", i, f"2026-05-0{i + 1}", t, None) for i, t in enumerate(texts)]
+    assert [r["numeric_value"] for r in dicts(stage_series(local_frame(spark, rows, LANDED)), "observation_date")] == [1.0, 2.0, 3.0]

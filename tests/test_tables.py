@@ -65,13 +65,40 @@ def test_partition_upsert_rewrites_only_touched_years(spark, staging, tmp_path):
     root = str(tmp_path)
     rows = [{"series_id": "s", "observation_date": d, "numeric_value": 1.0} for d in (date(2024, 1, 1), date(2025, 1, 1))]
     sinks.upsert_staging(staging(rows), root)
-    before = sorted(p.name for p in (tmp_path / "staging_observations" / "observation_year=2024").glob("part-*"))
+    before = sinks.committed_parts(spark, f"{root}/staging_observations")
     sinks.upsert_staging(staging([{**rows[1], "numeric_value": 2.0}, {**rows[1], "series_id": "t"}]), root)
-    assert sorted(p.name for p in (tmp_path / "staging_observations" / "observation_year=2024").glob("part-*")) == before
+    after = sinks.committed_parts(spark, f"{root}/staging_observations")
+    assert after["2024"] == before["2024"] and after["2025"] != before["2025"]
+    assert [p.name for p in (tmp_path / "staging_observations" / after["2025"]).glob("observation_year=*")] == ["observation_year=2025"]
     got = [(r["series_id"], r["observation_date"].year, r["numeric_value"]) for r in dicts(sinks.read_staging(spark, root), "series_id", "observation_date")]
     assert got == [("s", 2024, 1.0), ("s", 2025, 2.0), ("t", 2025, 1.0)]
 
 
+def test_a_write_that_dies_leaves_the_old_state(spark, staging, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    row = {"series_id": "s", "observation_date": date(2025, 1, 1), "numeric_value": 1.0}
+    sinks.upsert_staging(staging([row, {**row, "series_id": "t"}]), root)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "commit_manifest", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.upsert_staging(staging([{**row, "numeric_value": 2.0}]), root)
+    values = lambda: [(r["series_id"], r["numeric_value"]) for r in dicts(sinks.read_staging(spark, root), "series_id")]
+    assert values() == [("s", 1.0), ("t", 1.0)]
+    for value in (2.0, 3.0, 4.0, 5.0, 6.0):
+        sinks.upsert_staging(staging([{**row, "numeric_value": value}]), root)
+    assert values() == [("s", 6.0), ("t", 1.0)]
+    assert len(list((tmp_path / "staging_observations").glob("v=*"))) == sinks.KEPT_VERSIONS
+    with pytest.raises(RuntimeError, match="another writer"):
+        sinks.commit_manifest(spark, f"{root}/staging_observations", 6, {})
+
+
+def test_a_refresh_rewrites_only_changed_rows(spark, staging):
+    rows = [{"series_id": "s", "observation_date": d, "numeric_value": 1.0} for d in (date(2024, 1, 1), date(2025, 1, 1), date(2026, 1, 1))]
+    prepared = staging([rows[0], {**rows[1], "numeric_value": 2.0}, rows[2], {**rows[2], "series_id": "new"}])
+    got = dicts(refresh.changed_rows(prepared, staging(rows)), "series_id", "observation_date")
+    assert [(r["series_id"], r["observation_date"].year) for r in got] == [("new", 2026), ("s", 2025)]
+
+
 def test_versions_and_seed(spark, tmp_path):
     root = str(tmp_path)
     sinks.bootstrap(spark, root)
