@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,10 @@ _PIECE = re.compile(
     rf" ?[{_LATIN}]+(?=[ \n.,;:!?]|\Z)"  # a word
     rf"|[.,;:!?]+(?= [A-Za-z]|\n[{_LATIN}]|\Z)|\n(?=[{_LATIN}])"  # what stands between words most often
     r"|(?: [A-Za-z]|[^ ]| (?![A-Za-z]))[^ ]*(?: (?![A-Za-z])[^ ]*)*")  # anything else, up to a blank before a letter
+_SINGLE = re.compile(rf" ?[{_LATIN}]+|[.,;:!?]+|\n")  # what the tokenizer's splitting leaves whole
+
+# The characters by which byte-level vocabularies write the bytes that print nothing.
+_SHOWN = {byte: 0x100 + place for place, byte in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 FILE_SCHEMA = "doc_id long, shard int, begin long, n_tokens long, ids array<int>"
 
 
@@ -54,22 +59,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def single(self, piece: str) -> bytes:
+        """Ids of a piece that needs no splitting, from the model itself."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, old = self.known, self.old
         split = [[t] if self.special.search(t) else _PIECE.findall(t) for t in texts]
-        new = {p for pieces in split for p in pieces if p not in known}
-        seen = {p: old[p] for p in new if p in old}
-        known.update(seen)
-        missing = [p for p in new if p not in seen]
-        known.update(zip(missing, self.whole(missing)))
-        coded = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for p in missing:
+        rest = []
+        for p in set().union(*split).difference(known):
+            if p in old:
+                known[p] = old[p]
+            elif _SINGLE.fullmatch(p):
+                known[p] = self.single(p)
+            else:
+                rest.append(p)
+        known.update(zip(rest, self.whole(rest)))
+        coded = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for p in rest:
             if len(p) > PIECE_CHARS:
                 del known[p]
         if len(known) > PIECES:
@@ -104,7 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     placed = docs.select("doc_id", F.col("text"), tie.alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     rows = placed.select("doc_id", F.spark_partition_id().alias("shard"), "text").mapInArrow(_encode(tokenizer), FILE_SCHEMA)
     writer = rows.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", 5000)
-    writer.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
+    writer.option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
