@@ -79,12 +79,16 @@ def tokens(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.nd
     end = np.append(begin[1:], len(data))
     wanted = kind[begin] != SPACE if marks else kind[begin] == WORD
     begin, end = begin[wanted], end[wanted]
+    counts = np.diff(np.searchsorted(begin, at))
+    return hashed_runs(data, begin, end), counts
+
+
+def hashed_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run from ``begin`` to before ``end``."""
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[:len(data)], out=total[1:])
-    hashed = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
-    counts = np.diff(np.searchsorted(begin, at))
-    return hashed, counts
+    return mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
 
 
 def grams(hashed: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

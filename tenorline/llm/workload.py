@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorline.llm import chat, decontaminate, importance, jaccard, kdtree, language, mixing, secrets, token_files, warc
+from tenorline.llm import adaptive_scan, chat, collocations, decontaminate, importance, jaccard, kdtree, language, mixing, secrets, spelling, token_files, warc
 from tenorline.llm.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,9 +58,21 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_decontamination, op3_ngram_jaccard_join, op4_warc, op5_language_id, op6_token_output, op7_chat_formatting, op8_quality_resampling,
-    op9_source_mixing, op10_topk_search)}
+    op9_source_mixing, op10_topk_search, op11_spelling_variants, op12_phrase_collocations, op13_nearest_neighbours)}
 
 
 def _sql_text(text: str) -> str:
@@ -147,4 +159,35 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list
       FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
-ORACLES = {"op1_secret_scan": _SECRETS, "op3_ngram_jaccard_join": _JACCARD, "op4_warc": _WARC, "op10_topk_search": _TOP_K, "op7_chat_formatting": _CHATS, "op9_source_mixing": _MIX}
+# CRC-32 with the usual reflected polynomial, a byte at a time over a table built by its rule.
+_SPELLING = r"""
+WITH RECURSIVE crc_table AS (SELECT list(x ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS x FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+summed AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..')]),
+                                                             lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS h FROM runs, crc_table),
+altered AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM altered WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cuts AS a JOIN cuts AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+         UNION SELECT c.word, w.word, w.n FROM cuts AS c JOIN words AS w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cuts AS c JOIN words AS w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words AS w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS reached FROM forms UNION ALL SELECT c.word, f.form FROM chain AS c JOIN forms AS f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT word, f.form, reached AS root, f.n, f.n_near, f.form_n FROM chain JOIN forms AS f USING (word) WHERE reached IN (SELECT word FROM forms WHERE form IS NULL)"""
+
+_PHRASES = r"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, * FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+w AS (SELECT lang, [x FOR x IN string_split_regex(t, '[\x20\x09]+') IF x <> ''] AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest([ws[i:i + k - 1] FOR i IN range(1, len(ws) - k + 2)]) AS p FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+inside AS (SELECT lang, p, max(a) AS longer FROM (SELECT lang, p[1:2] AS p, a FROM c WHERE len(p) = 3 UNION ALL SELECT lang, p[2:3], a FROM c WHERE len(p) = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside AS i ON i.lang = c.lang AND i.p = c.p WHERE len(c.p) = 3 OR coalesce(100 * i.longer < 50 * c.a, TRUE)),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM kept),
+scored AS (SELECT cuts.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.p = cuts.p[1:k] JOIN f AS y ON y.lang = cuts.lang AND y.p = cuts.p[k + 1:]),
+low AS (SELECT *, array_to_string(p, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op11_spelling_variants": _SPELLING, "op12_phrase_collocations": _PHRASES, "op1_secret_scan": _SECRETS, "op3_ngram_jaccard_join": _JACCARD, "op4_warc": _WARC, "op10_topk_search": _TOP_K, "op7_chat_formatting": _CHATS, "op9_source_mixing": _MIX}
