@@ -1,12 +1,12 @@
 """Phrase collocations per language: phrases of two and three words whose words come together more often than alone.
 
-Texts are cut into pieces and words on their bytes, in slices, and n-grams are hashed with their language. A slice counts its n-grams and sends
-them on by hash partition. Each partition keeps a Misra-Gries summary: counts of at most ``capacity`` n-grams, where the (capacity + 1)-th
-largest count is taken from all whenever there are more. The capacity is a multiple of the partition's mass divided by the
-least count, and what is taken in all stays below the least count, so every frequent n-gram survives. Summaries of slices merge the same way.
-Survivors set bits in a map of fixed size. Words and pairs come first; triples are only
-counted where both their pairs survived. The last pass counts the survivors by their words, exactly, and drops what is not frequent after
-all, so neither the summaries nor the map change the result. (Phrases are told apart by 64-bit hashes within a slice, by their text across slices.)
+Texts are cut into pieces and words on their bytes, in slices, and n-grams are hashed with their language. A task counts the n-grams of
+some slices and sends the counts on by hash partition. Each partition keeps a Misra-Gries summary: counts of at most ``capacity`` n-grams, where the
+(capacity + 1)-th largest count is taken from all whenever there are more. The capacity is a multiple of the partition's mass divided
+by the least count, and what is taken in all stays below the least count, so every frequent n-gram survives. Summaries merge, so a partition may take its counts in any order.
+Survivors set bits in a map of fixed size. Words come first; pairs are only counted where both words survived, triples where both
+pairs did. The last pass counts the survivors by their words, exactly, and drops what is not frequent after all, so neither the
+summaries nor the maps change the result. (Phrases are told apart by 64-bit hashes within a task, by their text across tasks.)
 
 A language may hold most rows: nothing is grouped by language alone but sums and the first ``top`` phrases, which every task cuts before they are sent.
 
@@ -30,12 +30,15 @@ LEAST = 10
 TOP = 2000
 INSIDE = 50  # percent of a phrase's occurrences that lie in a longer candidate from which on it is dropped
 SCALE = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 CAPACITY_FACTOR = 4
+HELD = 2 << 20  # counts that a task holds before it sends them on
+HELD_PHRASES = 400_000  # and of phrases with their text
 PART_MASS = 4 << 20  # n-grams of a hash partition, so that its summary takes some dozen MB
+BUCKETS = 64  # parts of a language that are ranked before its best are ranked together
 LEAST_PARTS = 512
 MOST_PART_BITS = 20
-BITS = 28  # of a hash that choose a bit of the map: 32 MB, whatever the data
+BITS = 27  # of a hash that choose a bit of the map: 16 MB, whatever the data
 KEPT_BITS = 40  # of a hash that are sent beside its partition
 
 BREAK, GAP, WORD = 0, 1, 2
@@ -45,7 +48,7 @@ KIND[[10, 11, 12, 13, *map(ord, ".,;:!?")]] = BREAK
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SUMMED = "part int, mass long, hashes binary, counts binary"
+SUMMED = "part int, hashes binary, counts binary"
 COUNTED = "lang string, size int, phrase string, n long"
 
 
@@ -64,7 +67,7 @@ class Slice:
         wanted = kind[begin] == WORD
         self.begin, self.end = begin[wanted], end[wanted]
         self.text = np.searchsorted(at, self.begin, "right") - 1
-        breaks = np.cumsum(kind == BREAK, dtype=np.int64)[self.begin]
+        breaks = np.searchsorted(np.flatnonzero(kind == BREAK), self.begin)
         self.joined = (breaks[1:] == breaks[:-1]) & (self.text[1:] == self.text[:-1])
         langs = ["und" if x is None else x for x in batch.column("lang").to_pylist()]
         self.names, code = np.unique(np.array(langs, object), return_inverse=True)
@@ -78,8 +81,24 @@ class Slice:
         self.hashes = [one, two, three]
         self.whole = [np.ones(n, bool), self.joined, self.joined[:-1] & self.joined[1:]]
 
-    def phrase(self, first: int, size: int) -> str:
-        return b" ".join(self.data[self.begin[k]:self.end[k]].tobytes() for k in range(first, first + size)).decode()
+    def phrases(self, first: np.ndarray, size: int) -> list[bytes]:
+        """Words joined by blanks, from each place of ``first`` on."""
+        raw, begin, end = self.data.tobytes(), self.begin, self.end
+        plain = np.ones(len(first), bool)
+        for k in range(size - 1):
+            plain &= (begin[first + k + 1] - end[first + k] == 1) & (self.data[end[first + k]] == 32)
+        out = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first + size - 1].tolist())]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = b" ".join(raw[begin[k]:end[k]] for k in range(first[i], first[i] + size))
+        return out
+
+    def possible(self, size: int, bits: np.ndarray | None) -> np.ndarray:
+        """Places of the n-grams whose two shorter ones, or with ``size`` 1 all, are in the map."""
+        ok = self.whole[size - 1]
+        if bits is not None:
+            shorter = self.whole[size - 2] & marked(bits, self.hashes[size - 2])
+            ok = ok & shorter[:-1] & shorter[1:]
+        return np.flatnonzero(ok)
 
 
 def _seed(text: str) -> int:
@@ -93,26 +112,47 @@ def marked(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
-def _summarize(part_bits: int, shared) -> object:
-    """Counts of each slice by partition: of words and pairs, or, with the map of surviving pairs, of triples."""
+def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows), names)], [name for name, _ in names])
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], part_bits: int) -> pa.RecordBatch:
+    """Counts by hash partition: the bits of a hash that follow those of its partition, and how often it came."""
+    keys, counts = combined(*(np.concatenate(x) for x in zip(*held)))
+    part = (keys >> U64(KEPT_BITS)).astype(np.int64)
+    low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEPT_BITS // 8]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    counts = counts.astype(np.uint32)
+    return _batch([(int(part[a]), low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(part)))], SUMMED)
+
+
+def _summarize(size: int, part_bits: int, shared):
+    """Counts of the n-grams of ``size`` words by partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches, limit=SLICE_BYTES):
             s = Slice(batch)
-            if shared is None:
-                values = np.concatenate((s.hashes[0], s.hashes[1][s.whole[1]]))
-            else:
-                pairs = s.whole[1] & marked(shared.value, s.hashes[1])
-                values = s.hashes[2][pairs[:-1] & pairs[1:]]
-            if not len(values):
-                continue
-            kept, counts = np.unique(values >> U64(64 - part_bits - KEPT_BITS), return_counts=True)
-            part = (kept >> U64(KEPT_BITS)).astype(np.int64)
-            low = np.ascontiguousarray(kept.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEPT_BITS // 8]
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            stop = np.append(first[1:], len(part))
-            counts = counts.astype(np.uint32)
-            rows = [(int(part[a]), int(counts[a:b].sum(dtype=np.int64)), low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(first, stop)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], [c.split()[0] for c in SUMMED.split(", ")])
+            values = s.hashes[size - 1][s.possible(size, shared and shared.value)]
+            if len(values):
+                held.append(np.unique(values >> U64(64 - part_bits - KEPT_BITS), return_counts=True))
+                n += len(held[-1][0])
+            if n > HELD:
+                yield _packed(held, part_bits)
+                held, n = [], 0
+        if held:
+            yield _packed(held, part_bits)
 
     return run
 
@@ -125,12 +165,7 @@ class MisraGries:
         self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray, taken: int = 0) -> None:
-        keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        if len(keys):
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, counts = keys[first], np.add.reduceat(counts, first)
+        keys, counts = combined(np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts)))
         self.taken += taken
         if len(keys) > self.capacity:
             less = int(np.partition(counts, len(keys) - self.capacity - 1)[len(keys) - self.capacity - 1])
@@ -147,59 +182,72 @@ class MisraGries:
 def _survivors(part_bits: int, least: int, factor: int):
     """The piece of the map that belongs to a hash partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, part, waiting, held = None, 0, [], 0
-
-        def flush():
-            keys, counts = (np.concatenate(x) for x in zip(*waiting))
-            summary.merge(keys, counts)
-
+        rows, mass = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if summary is None:
-                    part = row["part"]
-                    summary = MisraGries(factor * (row["whole"] // least + 1))
-                low = np.frombuffer(row["hashes"], np.uint8).reshape(-1, KEPT_BITS // 8)
-                keys = np.zeros((len(low), 8), np.uint8)
-                keys[:, :KEPT_BITS // 8] = low
-                waiting.append((keys.view("<u8")[:, 0].astype(U64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)))
-                held += len(low)
-                if held > summary.capacity:
-                    flush()
-                    waiting, held = [], 0
-        if waiting:
-            flush()
-        piece = np.zeros(1 << max(0, BITS - part_bits), bool)
+            for part, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "counts"))):
+                rows.append((np.frombuffer(hashes, np.uint8).reshape(-1, KEPT_BITS // 8), np.frombuffer(counts, np.uint32)))
+                mass += int(rows[-1][1].sum(dtype=np.int64))
+        summary = MisraGries(factor * (mass // least + 1))
+        waiting, held = [], 0
+        for i, (low, counts) in enumerate(rows):
+            keys = np.zeros((len(low), 8), np.uint8)
+            keys[:, :KEPT_BITS // 8] = low
+            waiting.append((keys.view("<u8")[:, 0].astype(U64), counts.astype(np.int64)))
+            held += len(low)
+            if held > summary.capacity or i == len(rows) - 1:
+                summary.merge(*(np.concatenate(x) for x in zip(*waiting)))
+                waiting, held = [], 0
+        piece = np.zeros(1 << (BITS - part_bits), bool)
         piece[(summary.possible(least) >> U64(KEPT_BITS - (BITS - part_bits))).astype(np.int64)] = True
-        packed = np.packbits(piece, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
+        yield _batch([(part, np.packbits(piece, bitorder="little").tobytes())], "part int, bits binary")
 
     return run
 
 
 def _map(counted: DataFrame, part_bits: int, least: int) -> np.ndarray:
     """The map of the n-grams that may be frequent. Its size is fixed, so the driver may hold it."""
-    masses = broadcast_if_small(cut(counted.groupBy("part").agg(F.sum("mass").alias("whole")), "masses"))
-    pieces = counted.join(masses, "part").select("part", "whole", "hashes", "counts").groupBy("part").applyInArrow(_survivors(part_bits, least, CAPACITY_FACTOR), "part int, bits binary")
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     size = 1 << (BITS - 3 - part_bits)
-    for row in pieces.collect():
+    for row in counted.groupBy("part").applyInArrow(_survivors(part_bits, least, CAPACITY_FACTOR), "part int, bits binary").collect():
         bits[row.part * size:(row.part + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
-def _count(one_two, three):
-    """Occurrences of surviving n-grams per slice, and of all words as size 0."""
+def _count(maps: list):
+    """Occurrences of the n-grams in the maps, and of all words as size 0, per task or some slices of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, named, held, words = np.zeros(0, U64), [], [], {}
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = combined(*(np.concatenate(x) for x in zip(*held)))
+            which = np.argsort(np.concatenate([k for k, *_ in named]), kind="stable")
+            langs, sizes = (np.concatenate([x[i] for x in named])[which] for i in (1, 2))
+            phrases = [p for x in named for p in x[3]]
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array([phrases[i] for i in which.tolist()], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
+                                              [c.split()[0] for c in COUNTED.split(", ")])
+
         for batch in slices(batches, limit=SLICE_BYTES):
             s = Slice(batch)
-            rows = [(str(s.names[k]), 0, "", int(n)) for k, n in enumerate(np.bincount(s.lang, minlength=len(s.names))) if n]
-            for size, (hashes, whole, bits) in enumerate(zip(s.hashes, s.whole, (one_two.value, one_two.value, three.value)), 1):
-                places = np.flatnonzero(whole)
-                places = places[marked(bits, hashes[places])]
-                _, first, counts = np.unique(hashes[places], return_index=True, return_counts=True)
-                rows += [(str(s.names[s.lang[p]]), size, s.phrase(p, size), int(n)) for p, n in zip(places[first].tolist(), counts.tolist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], [c.split()[0] for c in COUNTED.split(", ")])
+            for k, n in enumerate(np.bincount(s.lang, minlength=len(s.names)).tolist()):
+                if n:
+                    words[str(s.names[k])] = words.get(str(s.names[k]), 0) + n
+            for size in (1, 2, 3):
+                places = s.possible(size, maps[size - 2].value if size > 1 else None)
+                places = places[marked(maps[size - 1].value, s.hashes[size - 1][places])]
+                keys, first, counts = np.unique(s.hashes[size - 1][places], return_index=True, return_counts=True)
+                held.append((keys, counts))
+                new = ~np.isin(keys, seen, assume_unique=True)
+                if new.any():
+                    at = places[first[new]]
+                    named.append((keys[new], s.names[s.lang[at]], np.full(len(at), size), s.phrases(at, size)))
+                    seen = np.union1d(seen, keys[new])
+            if len(seen) > HELD_PHRASES:
+                yield flush()
+                seen, named, held = np.zeros(0, U64), [], []
+        if named:
+            yield flush()
+        if words:
+            yield _batch([(lang, 0, "", n) for lang, n in words.items()], COUNTED)
 
     return run
 
@@ -207,12 +255,13 @@ def _count(one_two, three):
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, size, phrase, n): n-grams of one to three words that come ``least`` times in their language, and as size 0 all its words."""
     texts = docs.select("text", "lang")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # words and pairs are at most as many as bytes
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # n-grams of a size are at most as many as bytes
     part_bits = min(MOST_PART_BITS, max(LEAST_PARTS - 1, size // PART_MASS).bit_length())
-    context = docs.sparkSession.sparkContext
-    one_two = context.broadcast(_map(cut(texts.mapInArrow(_summarize(part_bits, None), SUMMED), "words-and-pairs"), part_bits, least))
-    three = context.broadcast(_map(cut(texts.mapInArrow(_summarize(part_bits, one_two), SUMMED), "triples"), part_bits, least))
-    return texts.mapInArrow(_count(one_two, three), COUNTED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+    maps = []
+    for size in (1, 2, 3):
+        counted = texts.mapInArrow(_summarize(size, part_bits, maps[-1] if maps else None), SUMMED)
+        maps.append(docs.sparkSession.sparkContext.broadcast(_map(counted, part_bits, least)))
+    return texts.mapInArrow(_count(maps), COUNTED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE) -> DataFrame:
@@ -233,7 +282,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     wide = "decimal(38,0)"
     score = F.expr(f"CAST({SCALE} AS {wide}) * CAST(a AS {wide}) * CAST(a AS {wide}) div (CAST(l AS {wide}) * CAST(r AS {wide}))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
-    order = Window.partitionBy("lang").orderBy(F.col("low.score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of parts of a language first, so that no task ranks more than some thousands of rows for each part.
+    best_first = (F.col("low.score").desc(), F.col("a").desc(), "phrase")
+    dealt = scored.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*best_first))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     totals = found.where("size = 0").select("lang", "n")
     return ranked.join(broadcast_if_small(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "low.l", "low.r", "n", "low.score")
