@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +31,16 @@ LEAST = 10
 TOP = 2000
 INSIDE = 50  # percent of a phrase's occurrences that lie in a longer candidate from which on it is dropped
 SCALE = 1_000_000
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 1 << 20
 CAPACITY_FACTOR = 4
-HELD = 2 << 20  # counts that a task holds before it sends them on
-HELD_PHRASES = 400_000  # and of phrases with their text
+HELD = 1 << 20  # counts that a task holds before it sends them on
+HELD_PHRASES = 250_000  # and of phrases with their text
 PART_MASS = 4 << 20  # n-grams of a hash partition, so that its summary takes some dozen MB
 BUCKETS = 64  # parts of a language that are ranked before its best are ranked together
 LEAST_PARTS = 512
 MOST_PART_BITS = 20
 BITS = 27  # of a hash that choose a bit of the map: 16 MB, whatever the data
-KEPT_BITS = 40  # of a hash that are sent beside its partition
+KEPT_BITS = 32  # of a hash that are sent beside its partition
 
 BREAK, GAP, WORD = 0, 1, 2
 KIND = np.full(256, WORD, np.uint8)
@@ -50,6 +51,8 @@ LOWER[65:91] += 32
 
 SUMMED = "part int, hashes binary, counts binary"
 COUNTED = "lang string, size int, phrase string, n long"
+COUNTED_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+COUNTED_NAMES = COUNTED_SCHEMA.names
 
 
 class Slice:
@@ -213,7 +216,40 @@ def _map(counted: DataFrame, part_bits: int, least: int) -> np.ndarray:
     return bits
 
 
-def _count(maps: list):
+def _blobs(table: pa.Table) -> pa.RecordBatch:
+    """Rows of a table by partition, in order, so that they compress well."""
+    table = table.sort_by([(c, "ascending") for c in ("part", "lang", "size", "phrase")])
+    part = table.column("part").to_numpy()
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    rows = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, COUNTED_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.slice(a, b - a).select(COUNTED_NAMES).combine_chunks())
+        rows.append((int(part[a]), out.getvalue().to_pybytes()))
+    return _batch(rows, "part int, rows binary")
+
+
+def _summed(least: int):
+    """Rows of blobs with equal words added up; those that come ``least`` times stay, and all of size 0."""
+    def total(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(COUNTED_NAMES[:3]).aggregate([("n", "sum")]).rename_columns(COUNTED_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, held = [], 0
+        for batch in batches:
+            for blob in batch.column("rows"):
+                tables.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                held += tables[-1].num_rows
+                if held > HELD:
+                    tables, held = [total(tables)], 0
+        whole = total(tables).cast(COUNTED_SCHEMA)
+        yield from whole.filter((pc.field("n") >= least) | (pc.field("size") == 0)).to_batches()
+
+    return run
+
+
+def _count(maps: list, part_bits: int):
     """Occurrences of the n-grams in the maps, and of all words as size 0, per task or some slices of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, named, held, words = np.zeros(0, U64), [], [], {}
@@ -223,8 +259,8 @@ def _count(maps: list):
             which = np.argsort(np.concatenate([k for k, *_ in named]), kind="stable")
             langs, sizes = (np.concatenate([x[i] for x in named])[which] for i in (1, 2))
             phrases = [p for x in named for p in x[3]]
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array([phrases[i] for i in which.tolist()], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                                              [c.split()[0] for c in COUNTED.split(", ")])
+            phrases = pa.array([phrases[i] for i in which.tolist()], pa.binary()).cast(pa.string())
+            return _blobs(pa.table([pa.array((keys >> U64(64 - part_bits)).astype(np.int32)), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), phrases, pa.array(counts, pa.int64())], ["part", *COUNTED_NAMES]))
 
         for batch in slices(batches, limit=SLICE_BYTES):
             s = Slice(batch)
@@ -247,7 +283,8 @@ def _count(maps: list):
         if named:
             yield flush()
         if words:
-            yield _batch([(lang, 0, "", n) for lang, n in words.items()], COUNTED)
+            parts = [int(_seed(lang) >> (64 - part_bits)) for lang in words]
+            yield _blobs(pa.table([pa.array(parts, pa.int32()), pa.array(words, pa.string()), pa.array([0] * len(words), pa.int32()), pa.array([""] * len(words)), pa.array(words.values(), pa.int64())], ["part", *COUNTED_NAMES]))
 
     return run
 
@@ -261,7 +298,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     for size in (1, 2, 3):
         counted = texts.mapInArrow(_summarize(size, part_bits, maps[-1] if maps else None), SUMMED)
         maps.append(docs.sparkSession.sparkContext.broadcast(_map(counted, part_bits, least)))
-    return texts.mapInArrow(_count(maps), COUNTED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+    return texts.mapInArrow(_count(maps, part_bits), "part int, rows binary").groupBy("part").applyInArrow(_summed(least), COUNTED)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE) -> DataFrame:
