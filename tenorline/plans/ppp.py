@@ -116,6 +116,32 @@ def ppp_paths(anchored: DataFrame) -> DataFrame:
 
 def ppp_snapshots(anchored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Latest reading of every anchor and statistic, against the rounded values of its path."""
+    long = _readings(anchored)
+    keys = pairs.select("pair_key", F.col("spot_series").alias("spot_series_key"),
+                        F.col("home_series").alias("home_cpi_series_key"),
+                        F.col("foreign_series").alias("foreign_cpi_series_key"))
+    return conform(long.join(keys, "pair_key").select("*", *_reading_columns()).withColumn("base_spot", py_round(F.col("base_spot"), 4)), PPP_SNAPSHOTS)
+
+
+def anchor_store(anchored: DataFrame) -> DataFrame:
+    """One row per pair and statistic: all its anchors in output order, each with its reading and its path.
+
+    What a view selects, sums up and draws is then one lookup. A row is bounded by the calendar: anchors are years and a few windows, paths are months.
+    """
+    points = F.array_sort(F.collect_list(F.struct("month_no", "actual_spot", *[f"implied_{s}" for s in STATISTICS], "imputation_note")))
+    long = _readings(anchored, points.alias("points"))
+    implied = lambda point: F.when(F.col("anchor_statistic") == STATISTICS[0], point[f"implied_{STATISTICS[0]}"]).otherwise(point[f"implied_{STATISTICS[1]}"])
+    path = F.transform("points", lambda point: F.struct(
+        month_start(point["month_no"]).alias("observation_month"), point["actual_spot"].alias("actual_spot"), implied(point).alias("implied_ppp"),
+        point["imputation_note"].isNotNull().alias("has_imputed_inputs"), point["imputation_note"].alias("imputation_note")))
+    anchor = long.select("pair_key", "anchor_statistic", F.struct(
+        *_reading_columns(), "anchor_kind", "anchor_window_code", "base_year", py_round(F.col("base_spot"), 4).alias("base_spot"),
+        "implied_ppp", path.alias("path")).alias("anchor"))
+    return anchor.groupBy("pair_key", "anchor_statistic").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"))
+
+
+def _readings(anchored: DataFrame, *points) -> DataFrame:
+    """One row per anchor and statistic: its latest month against the path, and its ``points`` if they are asked for."""
     recent = F.col("month_no") > F.col("latest_month_no") - TRAILING_MONTHS
     base_spot = F.when(F.col("in_anchor"), F.col("spot"))
     is_latest = F.col("month_no") == F.col("latest_month_no")
@@ -133,7 +159,7 @@ def ppp_snapshots(anchored: DataFrame, pairs: DataFrame) -> DataFrame:
         at_latest("spot").alias("spot"),
         F.first(F.when(is_latest, F.struct("spot_url", "home_url", "foreign_url")), ignorenulls=True).alias("urls"),
         *[at_latest(f"implied_{statistic}").alias(f"implied_{statistic}") for statistic in STATISTICS],
-        *[trailing_gap(statistic).alias(f"gap_{statistic}") for statistic in STATISTICS],
+        *[trailing_gap(statistic).alias(f"gap_{statistic}") for statistic in STATISTICS], *points,
     )
     # The last path rows run up to the latest month, so twelve of them within a year follow one another.
     per_statistic = F.inline(F.array(*[
@@ -141,13 +167,13 @@ def ppp_snapshots(anchored: DataFrame, pairs: DataFrame) -> DataFrame:
                  F.col(f"base_{statistic}").alias("base_spot"), F.col(f"implied_{statistic}").alias("implied_ppp"),
                  F.when(F.col("recent_months") == TRAILING_MONTHS, F.col(f"gap_{statistic}")).alias("trailing_gap"))
         for i, statistic in enumerate(STATISTICS)]))
-    long = summary.select("pair_key", *ANCHOR, "latest_month_no", "spot", "urls", "anchor_months", per_statistic)
-    keys = pairs.select("pair_key", F.col("spot_series").alias("spot_series_key"),
-                        F.col("home_series").alias("home_cpi_series_key"),
-                        F.col("foreign_series").alias("foreign_cpi_series_key"))
+    return summary.select("pair_key", *ANCHOR, "latest_month_no", "spot", "urls", "anchor_months", *[name for name in ("points",) if name in summary.columns], per_statistic)
+
+
+def _reading_columns() -> list:
     start = month_start(F.col("start_no"))
-    return conform(long.join(keys, "pair_key").select(
-        "*", (F.col("statistic_no") * SEQ_STRIDE + F.col("anchor_order")).alias("anchor_seq"),
+    return [
+        (F.col("statistic_no") * SEQ_STRIDE + F.col("anchor_order")).alias("anchor_seq"),
         start.alias("base_month"), start.alias("anchor_start_month"),
         month_start(F.col("end_no")).alias("anchor_end_month"),
         F.greatest(F.lit(1), F.bround(F.col("anchor_months") / 12).cast("int")).alias("anchor_years_covered"),
@@ -157,7 +183,7 @@ def ppp_snapshots(anchored: DataFrame, pairs: DataFrame) -> DataFrame:
         py_round(F.col("trailing_gap"), 2).alias("trailing_12m_average_gap_pct"),
         F.col("urls.spot_url").alias("spot_source_url"), F.col("urls.home_url").alias("home_cpi_source_url"),
         F.col("urls.foreign_url").alias("foreign_cpi_source_url"),
-    ).withColumn("base_spot", py_round(F.col("base_spot"), 4)), PPP_SNAPSHOTS)
+    ]
 
 
 def ppp_availability(monthly: DataFrame, pairs: DataFrame) -> DataFrame:

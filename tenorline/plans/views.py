@@ -48,15 +48,8 @@ def select_anchor(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     codes = F.coalesce(F.col("windows.code"), F.array().cast("array<string>"))
     years = F.coalesce(F.col("base_years"), F.array().cast("array<string>"))
     chosen = salted_join(parsed, anchor_options(snapshots), ["pair_key", "anchor_statistic"], "left").select(
-        "*",
-        F.when(F.array_contains(years, F.col("wanted_year")), F.col("wanted_year")).otherwise(F.try_element_at(years, F.lit(-1))).alias("selected_base_year"),
-        F.when(F.array_contains(codes, F.col("wanted_window")), F.col("wanted_window"))
-        .when(F.array_contains(codes, PREFERRED_WINDOW), PREFERRED_WINDOW)
-        .otherwise(F.try_element_at(codes, F.lit(-1))).alias("selected_window_code"))
-    kind = (F.when((F.col("wanted_kind") == "year") & F.col("selected_base_year").isNotNull(), "year")
-            .when(F.col("selected_window_code").isNotNull(), "window")
-            .when(F.col("selected_base_year").isNotNull(), "year"))
-    return chosen.select("request_id", "pair_key", "anchor_statistic", kind.alias("selected_anchor_kind"),
+        "*", _chosen_year(years).alias("selected_base_year"), _chosen_window(codes).alias("selected_window_code"))
+    return chosen.select("request_id", "pair_key", "anchor_statistic", _chosen_kind().alias("selected_anchor_kind"),
                          "selected_window_code", "selected_base_year", "base_years", "windows")
 
 
@@ -115,6 +108,54 @@ def currency_ppp_view(selection: DataFrame, snapshots: DataFrame, paths: DataFra
     return selection.join(shown, "request_id", "left").join(points, "request_id", "left")
 
 
+def currency_view(requests: DataFrame, store: DataFrame) -> DataFrame:
+    """Nested view per request: effective selection, options, summary and path, from one lookup in ``ppp.anchor_store``.
+
+    ``requests`` as for ``select_anchor``. Many requests may ask for one pair; the store has one row per pair and statistic.
+    """
+    parsed = requests.select(
+        "request_id", "pair_key", F.col("base_year").alias("wanted_year"), F.col("anchor_kind").alias("wanted_kind"), F.col("window_code").alias("wanted_window"),
+        F.when(F.col("anchor_statistic") == "median", "median").otherwise("average").alias("anchor_statistic"))
+    held = salted_join(parsed, store, ["pair_key", "anchor_statistic"], "left")
+    none = F.array().cast("array<string>")
+    years = F.transform(F.filter("anchors", lambda x: (x["anchor_kind"] == "year") & x["base_year"].isNotNull()), lambda x: x["base_year"])
+    ranked = F.filter("anchors", lambda x: (x["anchor_kind"] == "window") & _window_rank(x["anchor_window_code"]).isNotNull())
+    windows = F.array_sort(F.transform(ranked, lambda x: F.struct(
+        _window_rank(x["anchor_window_code"]).alias("rank"), x["anchor_window_code"].alias("code"), F.coalesce(x["anchor_years_covered"], F.lit(0)).alias("years_covered"))))
+    listed = held.withColumns({"base_years": F.coalesce(F.array_sort(F.array_distinct(years)), none),
+                               "windows": F.transform(F.array_distinct(windows), lambda w: F.struct(w["code"].alias("code"), w["years_covered"].alias("years_covered")))})
+    chosen = listed.withColumns({"selected_base_year": _chosen_year(F.col("base_years")), "selected_window_code": _chosen_window(F.coalesce("windows.code", none))})
+    chosen = chosen.withColumn("selected_anchor_kind", _chosen_kind())
+    # Absent window codes and years match each other.
+    wanted_window = F.when(F.col("selected_anchor_kind") == "window", F.col("selected_window_code"))
+    wanted_year = F.when(F.col("selected_anchor_kind") == "year", F.col("selected_base_year"))
+    found = F.try_element_at(F.filter("anchors", lambda x: (x["anchor_kind"] == F.col("selected_anchor_kind")) & x["anchor_window_code"].eqNullSafe(wanted_window)
+                                      & x["base_year"].eqNullSafe(wanted_year)), F.lit(1))
+    shown = chosen.withColumn("found", found)
+    label = anchor_label(F.col("found.anchor_kind"), F.col("anchor_statistic"), F.col("found.anchor_window_code"), F.col("found.anchor_years_covered"), F.col("found.base_year"))
+    summary = F.struct("found.anchor_kind", "anchor_statistic", label.alias("anchor_label"), *[f"found.{name}" for name in (
+        "anchor_window_code", "anchor_start_month", "anchor_end_month", "anchor_years_covered", "base_year")], F.col("found.as_of_month").alias("as_of"), *[f"found.{name}" for name in (
+            "base_spot", "current_spot", "implied_ppp", "deviation_pct", "trailing_12m_average_gap_pct")])
+    return shown.select("request_id", "pair_key", "anchor_statistic", "selected_anchor_kind", "selected_window_code", "selected_base_year", "base_years", "windows",
+                        F.when(F.col("found").isNotNull(), summary).alias("summary"), F.col("found.path").alias("path"))
+
+
+def _chosen_year(years: Column) -> Column:
+    return F.when(F.array_contains(years, F.col("wanted_year")), F.col("wanted_year")).otherwise(F.try_element_at(years, F.lit(-1)))
+
+
+def _chosen_window(codes: Column) -> Column:
+    return (F.when(F.array_contains(codes, F.col("wanted_window")), F.col("wanted_window"))
+            .when(F.array_contains(codes, PREFERRED_WINDOW), PREFERRED_WINDOW)
+            .otherwise(F.try_element_at(codes, F.lit(-1))))
+
+
+def _chosen_kind() -> Column:
+    return (F.when((F.col("wanted_kind") == "year") & F.col("selected_base_year").isNotNull(), "year")
+            .when(F.col("selected_window_code").isNotNull(), "window")
+            .when(F.col("selected_base_year").isNotNull(), "year"))
+
+
 def recent_gaps(path: DataFrame, key: str = "request_id", months: int = RECENT_MONTHS) -> DataFrame:
     """Last path points of each request with the gap to the implied value in percent."""
     latest_first = W.partitionBy(key).orderBy(F.desc("observation_month"))
@@ -178,6 +219,18 @@ def shown_uip_rows(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("tenor") != "") & _non_zero("implied_move_pct", "implied_spot"))
 
 
+def shown_parity_rows(snapshots: DataFrame) -> DataFrame:
+    """Rows that both tables of a page show, with the reading of the pair's first spread, in one pass: a pair has few tenors."""
+    rank = tenor_rank(F.col("tenor"))
+    row = F.struct(rank.alias("tenor_rank"), "tenor", "as_of_date", "spot", "base_rate", "quote_rate", "cip_implied_forward", F.col("uip_implied_move_pct").alias("implied_move_pct"),
+                   F.col("uip_implied_spot").alias("implied_spot"))
+    first = F.min_by("rate_spread", rank)
+    by_pair = snapshots.groupBy("pair_key").agg(F.collect_list(row).alias("rows"), first.alias("first_spread"))
+    rows = by_pair.select("pair_key", F.inline("rows"), "first_spread", _spread_reading(F.col("first_spread")).alias("reading"))
+    shown = rows.where((F.col("tenor") != "") & F.col("as_of_date").isNotNull() & _non_zero("spot", "base_rate", "quote_rate", "cip_implied_forward", "implied_move_pct", "implied_spot"))
+    return shown.select("pair_key", "tenor_rank", "tenor", "cip_implied_forward", "implied_move_pct", "implied_spot", "first_spread", "reading")
+
+
 def irp_references(snapshots: DataFrame, spot_label: str = "EUR/USD spot", base_name: str = "EUR", quote_name: str = "USD") -> DataFrame:
     """Distinct sources of a pair's tenors in tenor order."""
     items = F.array(
@@ -191,7 +244,11 @@ def irp_references(snapshots: DataFrame, spot_label: str = "EUR/USD spot", base_
 def spread_reading(rows: DataFrame) -> DataFrame:
     """Per pair: whether base rates sit below quote rates at the first tenor."""
     first = F.min_by("rate_spread", "tenor_rank")
-    return rows.groupBy("pair_key").agg(first.alias("first_spread"), F.when(first < 0, "base_below_quote").otherwise("undetermined").alias("reading"))
+    return rows.groupBy("pair_key").agg(first.alias("first_spread"), _spread_reading(first).alias("reading"))
+
+
+def _spread_reading(first: Column) -> Column:
+    return F.when(first < 0, "base_below_quote").otherwise("undetermined")
 
 
 def observed_columns(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +39,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage: ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in a new folder below the shared one, so that what follows reads it instead of computing it again."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -64,10 +64,7 @@ def rate_staleness(spark, sf_dir):
 def irp_view_rows(spark, sf_dir):
     """Rows a page would show in tenor rank, next to the reading of the first spread."""
     snapshots = irp.irp_snapshots(irp.tenor_inputs(a.tenor_observations(spark, sf_dir), a.tenor_dim(spark, sf_dir)))
-    cip = views.cip_rows(snapshots)
-    shown = views.shown_cip_rows(cip).select("pair_key", "tenor_rank", "tenor", "cip_implied_forward")
-    moves = views.shown_uip_rows(views.uip_rows(snapshots)).select("pair_key", "tenor_rank", "implied_move_pct", "implied_spot")
-    return shown.join(moves, ["pair_key", "tenor_rank"]).join(views.spread_reading(cip), "pair_key")
+    return views.shown_parity_rows(snapshots)
 
 
 def irp_references(spark, sf_dir):
@@ -86,7 +83,8 @@ def observed_columns(spark, sf_dir):
 
 def _requests(spark, sf_dir):
     """One view request per customer, spread over all pairs, with absent, unknown and known parameters in turn."""
-    k, pairs = F.col("c_custkey"), a.table(spark, sf_dir, "supplier").count()
+    k = F.col("c_custkey")
+    pairs = a.table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     return a.table(spark, sf_dir, "customer").select(
         k.alias("request_id"), F.concat(F.lit("pair-"), (k % pairs).cast("string")).alias("pair_key"),
         F.when(k % 5 != 0, (F.lit(1994) + k % 9).cast("string")).alias("base_year"),
@@ -101,17 +99,29 @@ def anchor_selection(spark, sf_dir):
                             F.concat_ws(",", "base_years").alias("base_years"), F.concat_ws(",", "windows.code").alias("window_codes"))
 
 
+def _views(spark, sf_dir):
+    return views.currency_view(_requests(spark, sf_dir), ppp.anchor_store(_anchored(spark, sf_dir)[0]))
+
+
 def selected_summary(spark, sf_dir):
-    snapshots = _snapshots(spark, sf_dir)
-    summary = views.ppp_summary(views.select_anchor(_requests(spark, sf_dir), snapshots), snapshots)
-    return summary.select("request_id", "anchor_label", "anchor_start_month", "implied_ppp", "deviation_pct")
+    return _views(spark, sf_dir).where("summary IS NOT NULL").select(
+        "request_id", "summary.anchor_label", "summary.anchor_start_month", "summary.implied_ppp", "summary.deviation_pct")
 
 
 def currency_view_path(spark, sf_dir):
     """Path rows of the snapshot that each request selects."""
-    snapshots = _snapshots(spark, sf_dir)
-    summary = views.ppp_summary(views.select_anchor(_requests(spark, sf_dir), snapshots), snapshots)
-    return views.ppp_view_path(summary, _paths(spark, sf_dir)).select("request_id", "observation_month", "actual_spot", "implied_ppp", "has_imputed_inputs")
+    return _views(spark, sf_dir).select("request_id", F.inline("path")).drop("imputation_note")
+
+
+def currency_view(spark, sf_dir):
+    """The whole view of each request, its lists as texts."""
+    windows = F.transform("windows", lambda w: F.concat_ws(":", w["code"], w["years_covered"].cast("string")))
+    points = F.transform("path", lambda x: F.format_string("%s %.4f %.4f %s", F.date_format(x["observation_month"], "yyyy-MM"), x["actual_spot"], x["implied_ppp"], x["imputation_note"]))
+    return _views(spark, sf_dir).select(
+        "request_id", "pair_key", "anchor_statistic", "selected_anchor_kind", "selected_window_code", "selected_base_year", F.array_join("base_years", ",").alias("base_years"),
+        F.array_join(windows, ",").alias("window_list"), *[f"summary.{name}" for name in (
+            "anchor_label", "anchor_start_month", "anchor_end_month", "anchor_years_covered", "as_of", "base_spot", "current_spot", "implied_ppp", "deviation_pct", "trailing_12m_average_gap_pct")],
+        F.array_join(points, ";").alias("path"))
 
 
 def pair_listing(spark, sf_dir):
@@ -230,6 +240,40 @@ PPP_SQL = f"""
 # printf keeps nulls out of the rounding of absent averages.
 PPP_SQL = PPP_SQL.replace(sql_round("gap", 2), f"CASE WHEN gap IS NOT NULL THEN {sql_round('gap', 2)} END")
 
+_LABEL_SQL = """CASE WHEN x.code = 'MAX' THEN 'MAX ' || x.stat || ' anchor (' || CAST(x.years AS VARCHAR) || ' years covered)'
+                    WHEN x.kind = 'window' THEN replace(x.code, 'Y', '-year') || ' ' || x.stat || ' anchor' ELSE x.y || ' ' || x.stat || ' base-year anchor' END AS anchor_label"""
+
+# Requests meet the anchors first; only the anchors that they select get paths.
+VIEW_SQL = PPP_SQL[:PPP_SQL.index("    direct AS (")] + PPP_SQL[PPP_SQL.index("    requests AS ("):PPP_SQL.index("    selected AS (")] + f"""
+    sized AS (SELECT x.*, CAST(greatest(1, round_even(count(*) / 12.0, 0)) AS INTEGER) AS years, avg(b.spot) AS mean_spot, median(b.spot) AS median_spot
+              FROM anchors x JOIN pair_months b ON b.pair_key = x.pair_key AND b.m BETWEEN x.s AND x.e GROUP BY ALL),
+    options AS (
+        SELECT pair_key, string_agg(y, ',' ORDER BY y) FILTER (kind = 'year') AS base_years, string_agg(code, ',' ORDER BY ord) FILTER (kind = 'window') AS window_codes,
+               string_agg(code || ':' || CAST(years AS VARCHAR), ',' ORDER BY ord) FILTER (kind = 'window') AS window_list,
+               max(y) FILTER (kind = 'year') AS last_year, arg_max(code, ord) FILTER (kind = 'window') AS last_window FROM sized GROUP BY pair_key),
+    selected AS (
+        SELECT r.*, o.base_years, o.window_list, CASE WHEN list_contains(string_split(o.base_years, ','), r.want_year) THEN r.want_year ELSE o.last_year END AS selected_base_year,
+               CASE WHEN list_contains(string_split(o.window_codes, ','), r.want_window) THEN r.want_window
+                    WHEN list_contains(string_split(o.window_codes, ','), '10Y') THEN '10Y' ELSE o.last_window END AS selected_window_code
+        FROM requests r LEFT JOIN options o ON o.pair_key = r.pair_key),
+    selection AS (
+        SELECT *, CASE WHEN want_kind_year AND selected_base_year IS NOT NULL THEN 'year' WHEN selected_window_code IS NOT NULL THEN 'window'
+                       WHEN selected_base_year IS NOT NULL THEN 'year' END AS selected_anchor_kind FROM selected),
+    matched AS (SELECT q.request_id, q.anchor_statistic AS stat, x.* FROM selection q JOIN sized x ON x.pair_key = q.pair_key AND x.kind = q.selected_anchor_kind
+                     AND ((x.kind = 'window' AND x.code = q.selected_window_code) OR (x.kind = 'year' AND x.y = q.selected_base_year))),
+    wanted AS (SELECT DISTINCT * EXCLUDE (request_id) FROM matched),
+    raw_paths AS (
+        SELECT w.pair_key, w.stat, w.ord, t.m, any_value(t.spot) AS spot, any_value(t.imputed) AS imputed,
+               avg(b.spot * (t.home / b.home) / (t.foreign_index / b.foreign_index)) AS mean_value, median(b.spot * (t.home / b.home) / (t.foreign_index / b.foreign_index)) AS median_value
+        FROM wanted w JOIN pair_months t ON t.pair_key = w.pair_key AND t.m >= w.s
+        JOIN pair_months b ON b.pair_key = w.pair_key AND b.m BETWEEN w.s AND w.e AND b.m <= t.m GROUP BY ALL),
+    paths AS (SELECT pair_key, stat, ord, m, spot, imputed, {sql_round('spot', 4)} AS actual, {sql_round("CASE stat WHEN 'average' THEN mean_value ELSE median_value END", 4)} AS implied FROM raw_paths),
+    ends AS (
+        SELECT pair_key, stat, ord, max(m) AS lm, arg_max(spot, m) AS spot, arg_max(implied, m) AS implied,
+               string_agg(printf('%d-%02d %.4f %.4f %s', m // 12, m % 12 + 1, actual, implied, CASE WHEN imputed THEN '{a.NOTE}' ELSE 'null' END), ';' ORDER BY m) AS path FROM paths GROUP BY ALL),
+    gaps AS (SELECT p.pair_key, p.stat, p.ord, CASE WHEN count(*) = 12 THEN avg((actual / p.implied - 1) * 100) FILTER (p.implied <> 0) END AS gap
+             FROM paths p JOIN ends e ON e.pair_key = p.pair_key AND e.stat = p.stat AND e.ord = p.ord AND p.m > e.lm - 12 GROUP BY ALL)"""
+
 _IRP_SQL = f"""
     WITH {a.TENOR_ROWS},
     irp AS (
@@ -244,7 +288,7 @@ _IRP_SQL = f"""
 
 QUERIES = {f.__name__: f for f in (
     ppp_snapshot, ppp_path, ppp_stored_keys, currency_availability, irp_tenors, rate_staleness, irp_view_rows, irp_references, observed_columns,
-    anchor_selection, selected_summary, currency_view_path, pair_listing, recent_gap, ppp_takeaway, ppp_references, spot_history, chart_range, year_ticks, page_as_of)}
+    anchor_selection, selected_summary, currency_view_path, currency_view, pair_listing, recent_gap, ppp_takeaway, ppp_references, spot_history, chart_range, year_ticks, page_as_of)}
 
 ORACLES = {
     "ppp_snapshot": PPP_SQL + """
@@ -289,17 +333,23 @@ ORACLES = {
     "anchor_selection": PPP_SQL + """
         SELECT request_id, anchor_statistic, selected_anchor_kind, selected_window_code, selected_base_year, coalesce(base_years, '') AS base_years,
                coalesce(window_codes, '') AS window_codes FROM selection""",
-    "selected_summary": PPP_SQL + """
-        SELECT q.request_id, CASE WHEN s.anchor_window_code = 'MAX' THEN 'MAX ' || s.anchor_statistic || ' anchor (' || CAST(s.anchor_years_covered AS VARCHAR) || ' years covered)'
-                                  WHEN s.anchor_kind = 'window' THEN replace(s.anchor_window_code, 'Y', '-year') || ' ' || s.anchor_statistic || ' anchor'
-                                  ELSE s.base_year || ' ' || s.anchor_statistic || ' base-year anchor' END AS anchor_label,
-               s.anchor_start_month, s.implied_ppp, s.deviation_pct
-        FROM selection q JOIN snapshots s ON s.pair_key = q.pair_key AND s.anchor_statistic = q.anchor_statistic AND s.anchor_kind = q.selected_anchor_kind
-             AND ((s.anchor_kind = 'window' AND s.anchor_window_code = q.selected_window_code) OR (s.anchor_kind = 'year' AND s.base_year = q.selected_base_year))""",
-    "currency_view_path": PPP_SQL + """
-        SELECT q.request_id, make_date(p.m // 12, p.m % 12 + 1, 1) AS observation_month, p.actual AS actual_spot, p.implied AS implied_ppp, p.imputed AS has_imputed_inputs
-        FROM selection q JOIN paths p ON p.pair_key = q.pair_key AND p.stat = q.anchor_statistic AND p.kind = q.selected_anchor_kind
-             AND ((p.kind = 'window' AND p.code = q.selected_window_code) OR (p.kind = 'year' AND p.y = q.selected_base_year))""",
+    "selected_summary": VIEW_SQL + f"""
+        SELECT x.request_id, {_LABEL_SQL}, make_date(x.s // 12, x.s % 12 + 1, 1) AS anchor_start_month, e.implied AS implied_ppp,
+               {sql_round('(e.spot / e.implied - 1) * 100', 2)} AS deviation_pct
+        FROM matched x JOIN ends e ON e.pair_key = x.pair_key AND e.stat = x.stat AND e.ord = x.ord""",
+    "currency_view_path": VIEW_SQL + """
+        SELECT x.request_id, make_date(p.m // 12, p.m % 12 + 1, 1) AS observation_month, p.actual AS actual_spot, p.implied AS implied_ppp, p.imputed AS has_imputed_inputs
+        FROM matched x JOIN paths p ON p.pair_key = x.pair_key AND p.stat = x.stat AND p.ord = x.ord""",
+    "currency_view": VIEW_SQL + f"""
+        SELECT q.request_id, q.pair_key, q.anchor_statistic, q.selected_anchor_kind, q.selected_window_code, q.selected_base_year, coalesce(q.base_years, '') AS base_years, q.window_list,
+               CASE WHEN x.request_id IS NOT NULL THEN {_LABEL_SQL.replace(" AS anchor_label", "")} END AS anchor_label,
+               make_date(x.s // 12, x.s % 12 + 1, 1) AS anchor_start_month, make_date(x.e // 12, x.e % 12 + 1, 1) AS anchor_end_month, x.years AS anchor_years_covered,
+               make_date(e.lm // 12, e.lm % 12 + 1, 1) AS as_of, CASE WHEN x.request_id IS NOT NULL THEN {sql_round("CASE x.stat WHEN 'average' THEN x.mean_spot ELSE x.median_spot END", 4)} END AS base_spot,
+               CASE WHEN x.request_id IS NOT NULL THEN {sql_round('e.spot', 4)} END AS current_spot, e.implied AS implied_ppp,
+               CASE WHEN x.request_id IS NOT NULL THEN {sql_round('(e.spot / e.implied - 1) * 100', 2)} END AS deviation_pct,
+               CASE WHEN g.gap IS NOT NULL THEN {sql_round('g.gap', 2)} END AS trailing_12m_average_gap_pct, e.path
+        FROM selection q LEFT JOIN matched x ON x.request_id = q.request_id LEFT JOIN ends e ON e.pair_key = x.pair_key AND e.stat = x.stat AND e.ord = x.ord
+        LEFT JOIN gaps g ON g.pair_key = x.pair_key AND g.stat = x.stat AND g.ord = x.ord""",
     "pair_listing": PPP_SQL + " SELECT pair_key, anchor_seq, as_of_month, current_spot FROM snapshots WHERE pair_key = 'pair-1'",
     "recent_gap": PPP_SQL + """
         SELECT pair_key || '/' || CAST(seq AS VARCHAR) AS anchor, make_date(m // 12, m % 12 + 1, 1) AS observation_month,
