@@ -2,6 +2,12 @@
 
 The state functions are plain DataFrame operators. Where a batch is small, its side of the anti join is
 broadcast by run-time size and the stored rows are streamed without a shuffle.
+
+A table is a folder of versions. A manifest of the table tells which version of each of its parts counts: observation years,
+buckets of a key's hash, or, in a log, what was appended per day. Writers that stage a table write parts and a manifest, which
+nobody reads yet; ``commit_tables`` then puts one manifest of the root in place that names the manifest of every table, so readers see
+the changes of several tables together or not at all. Putting a manifest in place is a rename that fails if the name is
+taken. That is atomic on HDFS and local disks; object stores without such a rename need one writer per root at a time.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenorline.catalog import empty_frame
 from tenorline.operators.dedupe import last_write_wins
@@ -17,10 +23,15 @@ from tenorline.operators.joins import salted_join
 from tenorline.schemas import TABLES, conform
 
 VERSION = "v="
+STAGED = "w="  # version folders of tables by key and of logs, which may follow versions of an older layout
 KEPT_VERSIONS = 3
 STAGING_TABLE = "staging_observations"
 YEARLY, YEAR = (STAGING_TABLE, "raw_observations"), "observation_year"
 MANIFESTS = "_manifests"
+COMMITS = "_commits"
+BUCKET = "bucket"
+BUCKETS = 64  # parts of a table stored by key; fixed, as stored rows lie where it put them
+LOGS, DAY = ("equity_payloads",), "fetch_day"
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], preserve: tuple[str, ...] = (),
@@ -51,14 +62,14 @@ def append(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current state of a stored table; a typed empty frame before its first write."""
-    schema = TABLES[name].schema
-    if name in YEARLY:
-        held, path = committed_parts(spark, f"{root}/{name}"), f"{root}/{name}"
-        if not held:
-            return empty_frame(spark, schema)
-        return conform(_read_parts(spark, path, held, YEAR), schema)
-    version = current_version(spark, root, name)
+    """Current state of a stored table; a typed empty frame before its first write. Of a log, the newest version of each key."""
+    schema, path = TABLES[name].schema, f"{root}/{name}"
+    held = committed_parts(spark, path)
+    if held and name in LOGS:
+        return conform(last_write_wins(_read_parts(spark, path, held, DAY, keep_version=True), list(TABLES[name].keys), STAGED[:-1]), schema)
+    if held:
+        return conform(_read_parts(spark, path, held, YEAR if name in YEARLY else BUCKET), schema)
+    version = None if name in YEARLY else current_version(spark, root, name)
     if version is None:
         return empty_frame(spark, schema)
     return conform(spark.read.parquet(_version_path(root, name, version)), schema)
@@ -92,8 +103,56 @@ def bootstrap(spark: SparkSession, root: str) -> None:
 
 def upsert_yearly(new: DataFrame, root: str, name: str) -> None:
     """Upsert rows of a table that is stored by observation year; a batch rewrites only the years it touches."""
+    commit_tables(new.sparkSession, root, {name: stage_years(new, root, name)})
+
+
+def stage_years(new: DataFrame, root: str, name: str) -> int:
+    """Stage an upsert into a table stored by observation year; gives the manifest to commit."""
     dated = conform(new, TABLES[name].schema).withColumn(YEAR, F.year("observation_date"))
-    upsert_partitions(dated, f"{root}/{name}", list(TABLES[name].keys), YEAR)
+    keys = [*TABLES[name].keys, YEAR]
+    return _stage(dated, f"{root}/{name}", YEAR, lambda old, batch: upsert(old, batch, keys))
+
+
+def stage_replacement(new: DataFrame, root: str, name: str, keys: list[str]) -> int:
+    """Stage rows of a table in place of all stored rows of their keys. The table is stored by the hash of ``keys``; only buckets of the batch are rewritten."""
+    return _stage(_bucketed(new, root, name, keys), f"{root}/{name}", BUCKET, lambda old, batch: replace_by_key(old, batch, [*keys, BUCKET]))
+
+
+def stage_upsert(new: DataFrame, root: str, name: str) -> int:
+    """Stage an upsert by the table's own key, stored by its hash."""
+    keys = list(TABLES[name].keys)
+    return _stage(_bucketed(new, root, name, keys), f"{root}/{name}", BUCKET, lambda old, batch: upsert(old, batch, [*keys, BUCKET]))
+
+
+def stage_append(new: DataFrame, root: str, name: str, day: Column) -> int:
+    """Stage rows at the end of a log. Nothing stored is read or rewritten; readers take the newest row of each key."""
+    return _stage(conform(new, TABLES[name].schema).withColumn(DAY, day.cast("string")), f"{root}/{name}", DAY, None)
+
+
+def compact_log(spark: SparkSession, root: str, name: str, appends: int = 2) -> None:
+    """Rewrite the days of a log with ``appends`` or more versions as one, which holds the newest row of each key."""
+    path = f"{root}/{name}"
+    held = committed_parts(spark, path)
+    versions = {}
+    for part in held:
+        versions.setdefault(part.partition("@")[0], []).append(part)
+    crowded = {day: parts for day, parts in versions.items() if len(parts) >= appends}
+    if crowded:
+        rows = _read_parts(spark, path, {part: held[part] for parts in crowded.values() for part in parts}, DAY, keep_version=True)
+        newest = last_write_wins(rows, [*TABLES[name].keys, DAY], STAGED[:-1]).drop(STAGED[:-1])
+        kept = {part: version for part, version in held.items() if part.partition("@")[0] not in crowded}
+        commit_tables(spark, root, {name: _stage(newest, path, DAY, None, kept)})
+
+
+def commit_tables(spark: SparkSession, root: str, staged: dict[str, int]) -> None:
+    """Make staged manifests count, all at once. Fails if another writer has committed since they were staged."""
+    number, tables = _last_commit(spark, root)
+    for name, manifest in staged.items():
+        if _read_json(spark, f"{root}/{name}/{MANIFESTS}/{manifest:08d}.json")["base"] != tables.get(name, 0):
+            raise RuntimeError(f"{root}/{name} was changed by another writer")
+    _put(spark, f"{root}/{COMMITS}", number + 1, {**tables, **staged}, root)
+    for old in range(max(1, number - 2 * KEPT_VERSIONS), number - KEPT_VERSIONS + 1):
+        remove(spark, f"{root}/{COMMITS}/{old:08d}.json")
 
 
 def upsert_staging(new: DataFrame, root: str) -> None:
@@ -116,63 +175,98 @@ def current_version(spark: SparkSession, root: str, name: str) -> int | None:
     return max(done, default=None)
 
 
-def upsert_partitions(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Upsert into a folder stored by ``partition``, rewriting only the partitions the batch touches.
+def _bucketed(new: DataFrame, root: str, name: str, keys: list[str]) -> DataFrame:
+    """The batch with its buckets. Rows of a table that has no buckets yet move into them with the first batch."""
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    version = None if committed_parts(spark, f"{root}/{name}") else current_version(spark, root, name)
+    if version is not None:
+        new = replace_by_key(read_table(spark, root, name), conform(new, TABLES[name].schema), keys)
+    return conform(new, TABLES[name].schema).withColumn(BUCKET, bucket)
+
+
+def _stage(new: DataFrame, path: str, partition: str, merge, kept: dict[str, str] | None = None) -> int:
+    """Write the parts that a batch touches and a manifest that names them; gives the manifest's number.
 
-    ``partition`` is derived from the key, so a key never moves between partitions. The batch is computed once,
-    into a work folder. The new state of the touched partitions goes to a version folder of its own, and one
-    manifest, put in place by an atomic rename, tells which version of each partition counts. Until then readers
-    see the old state, and so they do if the job dies; a rerun writes the same version again. Version folders
-    that none of the last ``KEPT_VERSIONS`` manifests names are removed.
+    ``partition`` is derived from the key, so a key never moves between parts. The batch is computed once, into a
+    work folder; ``merge`` makes the new state of the touched parts from the old one and the batch, and without it the batch is added to them.
+    Until the manifest is committed readers see the old state, and so they do if the job dies. Version folders that neither the last
+    ``KEPT_VERSIONS`` manifests nor the committed one name are removed.
     """
     spark = new.sparkSession
-    number, held = _last_manifest(spark, path)
+    base = _committed_number(spark, path)
+    held = _manifest(spark, path, base) if kept is None else kept
+    number = _last_number(spark, path) + 1
+    version = f"{VERSION if partition == YEAR else STAGED}{number:08d}"
     work = f"{path}/_work-{uuid.uuid4().hex}"
-    new.write.partitionBy(partition).parquet(work)
-    touched = [name[len(partition) + 1:] for name in _names(spark, work) if name.startswith(f"{partition}=")]
-    if touched:
-        batch = spark.read.schema(new.schema).parquet(work)
-        old = {value: version for value, version in held.items() if value in touched}
-        state = upsert(_read_parts(spark, path, old, partition), batch, [*keys, partition]) if old else batch
-        version = f"{VERSION}{number + 1:08d}"
-        state.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(f"{path}/{version}")
-        commit_manifest(spark, path, number + 1, {**held, **dict.fromkeys(touched, version)})
-    remove(spark, work)
+    try:
+        new.write.partitionBy(partition).parquet(work)
+        touched = [name[len(partition) + 1:] for name in _names(spark, work) if name.startswith(f"{partition}=")]
+        parts = {value if merge else f"{value}@{number:08d}": version for value in touched}
+        if touched:
+            batch = spark.read.schema(new.schema).parquet(work)
+            old = {value: held[value] for value in touched if value in held}
+            state = merge(_read_parts(spark, path, old, partition), batch) if merge and old else batch
+            state.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(f"{path}/{version}")
+        commit_manifest(spark, path, number, {**held, **parts}, base)
+    finally:
+        remove(spark, work)
+    return number
 
 
 def committed_parts(spark: SparkSession, path: str) -> dict[str, str]:
-    """Partition value to the version folder that counts."""
-    return _last_manifest(spark, path)[1]
+    """Part of a table to the version folder that counts."""
+    return _manifest(spark, path, _committed_number(spark, path))
 
 
-def commit_manifest(spark: SparkSession, path: str, number: int, parts: dict[str, str]) -> None:
-    """Make ``parts`` the state of a folder. Fails if another writer has taken the number."""
-    target, fs = _folder(spark, f"{path}/{MANIFESTS}/{number:08d}.json")
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFESTS}/_draft-{uuid.uuid4().hex}")
-    out = fs.create(draft)
-    out.write(json.dumps(parts, sort_keys=True).encode())
-    out.close()
-    if fs.exists(target) or not fs.rename(draft, target):
-        raise RuntimeError(f"{path} was changed by another writer")
+def _committed_number(spark: SparkSession, path: str) -> int:
+    root, _, name = path.rpartition("/")
+    return _last_commit(spark, root)[1].get(name, 0)
+
+
+def commit_manifest(spark: SparkSession, path: str, number: int, parts: dict[str, str], base: int = 0) -> None:
+    """Store ``parts``, made from the manifest ``base``, as a state of a table, which counts once the root names it. Fails if another writer has taken the number."""
+    _put(spark, f"{path}/{MANIFESTS}", number, {"base": base, "parts": parts}, path)
     used = {version for n in range(max(1, number - KEPT_VERSIONS + 1), number + 1) for version in _manifest(spark, path, n).values()}
+    used |= set(committed_parts(spark, path).values())
     for name in _names(spark, path):
-        if name.startswith(VERSION) and name not in used and int(name[len(VERSION):]) <= number:
+        # An older layout's versions stay until the table is written anew under manifests.
+        old_layout = name.startswith(VERSION) and any(version.startswith(STAGED) for version in parts.values())
+        if name.startswith((VERSION, STAGED)) and not old_layout and name not in used and int(name[len(VERSION):]) <= number:
             remove(spark, f"{path}/{name}")
 
 
+def _put(spark: SparkSession, folder: str, number: int, content: dict, what: str) -> None:
+    target, fs = _folder(spark, f"{folder}/{number:08d}.json")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(json.dumps(content, sort_keys=True).encode())
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise RuntimeError(f"{what} was changed by another writer")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     folder, fs = _folder(spark, path)
     fs.delete(folder, True)
 
 
-def _last_manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
-    numbers = [int(name[:-5]) for name in _names(spark, f"{path}/{MANIFESTS}") if name.endswith(".json")]
-    number = max(numbers, default=0)
-    return number, _manifest(spark, path, number) if number else {}
+def _last_number(spark: SparkSession, path: str) -> int:
+    return max((int(name[:-5]) for name in _names(spark, f"{path}/{MANIFESTS}") if name.endswith(".json")), default=0)
+
+
+def _last_commit(spark: SparkSession, root: str) -> tuple[int, dict[str, int]]:
+    number = max((int(name[:-5]) for name in _names(spark, f"{root}/{COMMITS}") if name.endswith(".json")), default=0)
+    return number, _read_json(spark, f"{root}/{COMMITS}/{number:08d}.json") if number else {}
 
 
 def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, str]:
-    file, fs = _folder(spark, f"{path}/{MANIFESTS}/{number:08d}.json")
+    return _read_json(spark, f"{path}/{MANIFESTS}/{number:08d}.json").get("parts", {})
+
+
+def _read_json(spark: SparkSession, path: str) -> dict:
+    file, fs = _folder(spark, path)
     if not fs.exists(file):
         return {}
     stream = fs.open(file)
@@ -182,9 +276,10 @@ def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, str]:
         stream.close()
 
 
-def _read_parts(spark: SparkSession, path: str, parts: dict[str, str], partition: str) -> DataFrame:
-    folders = [f"{path}/{version}/{partition}={value}" for value, version in sorted(parts.items())]
-    return spark.read.option("basePath", path).parquet(*folders).drop(VERSION[:-1])
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, str], partition: str, keep_version: bool = False) -> DataFrame:
+    folders = [f"{path}/{version}/{partition}={value.partition('@')[0]}" for value, version in sorted(parts.items())]
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    return rows if keep_version else rows.drop(VERSION[:-1], STAGED[:-1])
 
 
 def _folder(spark: SparkSession, path: str):

@@ -1,10 +1,11 @@
 """Batch refreshes: landed payloads to stored tables and marts.
 
 Every refresh is idempotent: keyed upserts and replace-by-key writes give the same tables when a run is
-repeated after a failure. Results carry a status and the error lines as a DataFrame, since a run over many
+repeated after a failure. All tables of a run are staged one by one and committed together, so readers never see
+staging rows of a run without its marts. Results carry a status and the error lines as a DataFrame, since a run over many
 series may have many. Prepared staging rows and marts are written once to a work folder of the run and the
 domain, and what is stored, counted and compared starts from there; the folder is removed at the end. Of the
-staging rows only new and changed ones are upserted, so a refresh rewrites only their years.
+staging rows only new and changed ones are upserted, so a refresh rewrites only their years; marts rewrite only the buckets of their keys.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ def refresh_currency(spark: SparkSession, root: str, landed: DataFrame, outcomes
         if availability.where("status = 'available'").isEmpty():
             return {"status": "failed", "errors": local_frame(spark, [(None, NO_SECTIONS)], ERRORS) if errors.isEmpty() else errors}
         with _run(spark, root, "currency-analysis", "currency_analysis", run_at):
-            _load_layers(spark, root, landed, outcomes, prepared, run_at)
+            staged = _load_layers(spark, root, landed, outcomes, prepared, run_at)
             for name, rows in (("currency_ppp_snapshots", ppp.snapshots), ("currency_ppp_paths", ppp.paths),
                                ("currency_irp_snapshots", irp.snapshots), ("currency_data_availability", availability)):
-                _replace(spark, root, name, keep(name, rows), ["pair_key"])
+                staged[name] = sinks.stage_replacement(rows, root, name, ["pair_key"])
+            sinks.commit_tables(spark, root, staged)
     return {"status": "success", "fetch_errors": errors}
 
 
@@ -57,9 +59,10 @@ def refresh_macro(spark: SparkSession, root: str, landed: DataFrame, outcomes: D
         prepared = keep("prepared", _prepare(spark, root, landed, outcomes))
         facts = keep("facts", region_facts(prepared, roles))
         with _run(spark, root, "taylor-rule", "macro", run_at):
-            _load_layers(spark, root, landed, outcomes, prepared, run_at)
-            _replace(spark, root, "taylor_rule_inputs", keep("taylor", taylor_from_facts(facts, parameters, fail_on_missing=True)), ["region"])
-            _replace(spark, root, "macro_reference_metrics", keep("metrics", metrics_from_facts(facts, fail_on_missing=True)), ["region"])
+            staged = _load_layers(spark, root, landed, outcomes, prepared, run_at)
+            for name, rows in (("taylor_rule_inputs", taylor_from_facts(facts, parameters, fail_on_missing=True)), ("macro_reference_metrics", metrics_from_facts(facts, fail_on_missing=True))):
+                staged[name] = sinks.stage_replacement(rows, root, name, ["region"])
+            sinks.commit_tables(spark, root, staged)
     return {"status": "success"}
 
 
@@ -70,12 +73,14 @@ def refresh_equity(spark: SparkSession, root: str, payloads: DataFrame, markets:
     with _work(spark, root, "equity", run_at) as keep:
         result = valuation_snapshot(payloads, markets, F.lit(run_date))
         snapshots, rejects = keep("snapshots", result.snapshots), keep("rejects", result.rejects)
-        stored = sinks.upsert(sinks.read_table(spark, root, "equity_payloads"), landed, ["provider", "external_symbol", "fetched_at"])
-        sinks.write_table(stored, root, "equity_payloads")
-        _replace(spark, root, "equity_market_valuation_snapshot", snapshots, ["market_id"])
+        staged = {"equity_payloads": sinks.stage_append(landed, root, "equity_payloads", F.to_date("fetched_at")),
+                  "equity_market_valuation_snapshot": sinks.stage_replacement(snapshots, root, "equity_market_valuation_snapshot", ["market_id"])}
+        sinks.commit_tables(spark, root, staged)
         summary = failure_summary(markets, snapshots, rejects, landed).first()
-        errors = local_frame(spark, [tuple(row) for row in rejects.collect()], rejects.schema)
-    return {**summary.asDict(), "errors": errors}
+        # The caller reads the errors after the work folder is gone; the next run of the same time writes them again.
+        kept = f"{root}/_rejects/{run_at:%Y%m%dT%H%M%S}"
+        rejects.write.mode("overwrite").parquet(kept)
+    return {**summary.asDict(), "errors": spark.read.schema(rejects.schema).parquet(kept)}
 
 
 def append_seed(spark: SparkSession, root: str, seed: DataFrame) -> None:
@@ -112,18 +117,20 @@ def _work(spark: SparkSession, root: str, domain: str, run_at: datetime):
 
 
 def _load_layers(spark: SparkSession, root: str, landed: DataFrame, outcomes: DataFrame, prepared: DataFrame,
-                 run_at: datetime) -> None:
+                 run_at: datetime) -> dict[str, int]:
+    """Stage metadata, raw and staging rows and checkpoints; of the stored rows only those of the batch's keys are rewritten."""
     at = F.lit(run_at)
-    fetched = outcomes.where("ok")
-    sinks.write_table(incremental.write_metadata(sinks.read_table(spark, root, "series_metadata"), fetched, at), root, "series_metadata")
-    sinks.upsert_yearly(raw_rows(landed, at), root, "raw_observations")
-    sinks.upsert_staging(changed_rows(prepared, sinks.read_staging(spark, root)), root)
-    marks = incremental.high_water_marks(landed)
-    sinks.write_table(incremental.write_checkpoints(sinks.read_table(spark, root, "series_checkpoints"), marks, at), root, "series_checkpoints")
+    fetched, marks = outcomes.where("ok"), incremental.high_water_marks(landed)
 
+    def of(name: str, batch: DataFrame) -> DataFrame:
+        return sinks.read_table(spark, root, name).join(batch.select("series_id").distinct(), "series_id", "left_semi")
 
-def _replace(spark: SparkSession, root: str, name: str, rows: DataFrame, keys: list[str]) -> None:
-    sinks.write_table(sinks.replace_by_key(sinks.read_table(spark, root, name), rows, keys), root, name)
+    return {
+        "series_metadata": sinks.stage_upsert(incremental.write_metadata(of("series_metadata", fetched), fetched, at), root, "series_metadata"),
+        "raw_observations": sinks.stage_years(raw_rows(landed, at), root, "raw_observations"),
+        "staging_observations": sinks.stage_years(changed_rows(prepared, sinks.read_staging(spark, root)), root, "staging_observations"),
+        "series_checkpoints": sinks.stage_upsert(incremental.write_checkpoints(of("series_checkpoints", marks), marks, at), root, "series_checkpoints"),
+    }
 
 
 class _run:
@@ -145,5 +152,5 @@ class _run:
 
     def _record(self, status: str, finished_at: datetime | None, error: str | None) -> None:
         row = local_frame(self.spark, [(self.run_id, self.domain, self.run_at, finished_at, status, error)], RUN_LOG)
-        log = sinks.read_table(self.spark, self.root, "pipeline_runs")
-        sinks.write_table(incremental.record_run(log, row), self.root, "pipeline_runs")
+        known = sinks.read_table(self.spark, self.root, "pipeline_runs").where(F.col("run_id") == self.run_id)
+        sinks.commit_tables(self.spark, self.root, {"pipeline_runs": sinks.stage_upsert(incremental.record_run(known, row), self.root, "pipeline_runs")})

@@ -122,7 +122,7 @@ def currency_view(requests: DataFrame, store: DataFrame) -> DataFrame:
     ranked = F.filter("anchors", lambda x: (x["anchor_kind"] == "window") & _window_rank(x["anchor_window_code"]).isNotNull())
     windows = F.array_sort(F.transform(ranked, lambda x: F.struct(
         _window_rank(x["anchor_window_code"]).alias("rank"), x["anchor_window_code"].alias("code"), F.coalesce(x["anchor_years_covered"], F.lit(0)).alias("years_covered"))))
-    listed = held.withColumns({"base_years": F.coalesce(F.array_sort(F.array_distinct(years)), none),
+    listed = held.withColumns({"base_years": F.array_sort(F.array_distinct(years)),
                                "windows": F.transform(F.array_distinct(windows), lambda w: F.struct(w["code"].alias("code"), w["years_covered"].alias("years_covered")))})
     chosen = listed.withColumns({"selected_base_year": _chosen_year(F.col("base_years")), "selected_window_code": _chosen_window(F.coalesce("windows.code", none))})
     chosen = chosen.withColumn("selected_anchor_kind", _chosen_kind())

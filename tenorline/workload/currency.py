@@ -118,7 +118,7 @@ def currency_view(spark, sf_dir):
     windows = F.transform("windows", lambda w: F.concat_ws(":", w["code"], w["years_covered"].cast("string")))
     points = F.transform("path", lambda x: F.format_string("%s %.4f %.4f %s", F.date_format(x["observation_month"], "yyyy-MM"), x["actual_spot"], x["implied_ppp"], x["imputation_note"]))
     return _views(spark, sf_dir).select(
-        "request_id", "pair_key", "anchor_statistic", "selected_anchor_kind", "selected_window_code", "selected_base_year", F.array_join("base_years", ",").alias("base_years"),
+        "request_id", "pair_key", "anchor_statistic", "selected_anchor_kind", "selected_window_code", "selected_base_year", F.coalesce(F.array_join("base_years", ","), F.lit("")).alias("base_years"),
         F.array_join(windows, ",").alias("window_list"), *[f"summary.{name}" for name in (
             "anchor_label", "anchor_start_month", "anchor_end_month", "anchor_years_covered", "as_of", "base_spot", "current_spot", "implied_ppp", "deviation_pct", "trailing_12m_average_gap_pct")],
         F.array_join(points, ";").alias("path"))
