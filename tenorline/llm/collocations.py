@@ -34,13 +34,14 @@ SCALE = 1_000_000
 SLICE_BYTES = 1 << 20
 CAPACITY_FACTOR = 4
 HELD = 1 << 20  # counts that a task holds before it sends them on
-HELD_PHRASES = 250_000  # and of phrases with their text
+HELD_PHRASES = 1 << 20  # and of phrases with their text, some 40 bytes each
 PART_MASS = 4 << 20  # n-grams of a hash partition, so that its summary takes some dozen MB
 BUCKETS = 64  # parts of a language that are ranked before its best are ranked together
 LEAST_PARTS = 512
 MOST_PART_BITS = 20
 BITS = 27  # of a hash that choose a bit of the map: 16 MB, whatever the data
-KEPT_BITS = 32  # of a hash that are sent beside its partition
+KEPT_BITS = 24  # of a hash that are sent beside its partition: few n-grams of a partition of bounded mass share them, and a shared one costs work only
+MOST_COUNT = 255  # in a byte; larger counts are sent in several
 
 BREAK, GAP, WORD = 0, 1, 2
 KIND = np.full(256, WORD, np.uint8)
@@ -84,16 +85,19 @@ class Slice:
         self.hashes = [one, two, three]
         self.whole = [np.ones(n, bool), self.joined, self.joined[:-1] & self.joined[1:]]
 
-    def phrases(self, first: np.ndarray, size: int) -> list[bytes]:
+    def phrases(self, first: np.ndarray, size: int) -> pa.Array:
         """Words joined by blanks, from each place of ``first`` on."""
-        raw, begin, end = self.data.tobytes(), self.begin, self.end
-        plain = np.ones(len(first), bool)
-        for k in range(size - 1):
-            plain &= (begin[first + k + 1] - end[first + k] == 1) & (self.data[end[first + k]] == 32)
-        out = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first + size - 1].tolist())]
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = b" ".join(raw[begin[k]:end[k]] for k in range(first[i], first[i] + size))
-        return out
+        begins = [self.begin[first + k] for k in range(size)]
+        lengths = [self.end[first + k] - begins[k] for k in range(size)]
+        ends = np.cumsum(sum(lengths) + size - 1)
+        at = ends - sum(lengths) - (size - 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+        for begin, length in zip(begins, lengths):
+            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            out[np.repeat(at, length) + step] = self.data[np.repeat(begin, length) + step]
+            at = at + length + 1
+        offsets = np.append(0, ends).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
     def possible(self, size: int, bits: np.ndarray | None) -> np.ndarray:
         """Places of the n-grams whose two shorter ones, or with ``size`` 1 all, are in the map."""
@@ -134,10 +138,15 @@ def _batch(rows: list, schema: str) -> pa.RecordBatch:
 def _packed(held: list[tuple[np.ndarray, np.ndarray]], part_bits: int) -> pa.RecordBatch:
     """Counts by hash partition: the bits of a hash that follow those of its partition, and how often it came."""
     keys, counts = combined(*(np.concatenate(x) for x in zip(*held)))
+    times = (counts - 1) // MOST_COUNT + 1
+    last = np.cumsum(times) - 1
+    rest = counts - (times - 1) * MOST_COUNT
+    keys, counts = np.repeat(keys, times), np.full(int(times.sum()), MOST_COUNT)
+    counts[last] = rest
     part = (keys >> U64(KEPT_BITS)).astype(np.int64)
     low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEPT_BITS // 8]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    counts = counts.astype(np.uint32)
+    counts = counts.astype(np.uint8)
     return _batch([(int(part[a]), low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(part)))], SUMMED)
 
 
@@ -188,7 +197,7 @@ def _survivors(part_bits: int, least: int, factor: int):
         rows, mass = [], 0
         for batch in batches:
             for part, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "counts"))):
-                rows.append((np.frombuffer(hashes, np.uint8).reshape(-1, KEPT_BITS // 8), np.frombuffer(counts, np.uint32)))
+                rows.append((np.frombuffer(hashes, np.uint8).reshape(-1, KEPT_BITS // 8), np.frombuffer(counts, np.uint8)))
                 mass += int(rows[-1][1].sum(dtype=np.int64))
         summary = MisraGries(factor * (mass // least + 1))
         waiting, held = [], 0
@@ -252,15 +261,14 @@ def _summed(least: int):
 def _count(maps: list, part_bits: int):
     """Occurrences of the n-grams in the maps, and of all words as size 0, per task or some slices of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, named, held, words = np.zeros(0, U64), [], [], {}
+        # Hashes in order with their counts, and in order of appearance their languages, sizes and words.
+        seen, total, named, words = np.zeros(0, U64), np.zeros(0, np.int64), [], {}
 
         def flush() -> pa.RecordBatch:
-            keys, counts = combined(*(np.concatenate(x) for x in zip(*held)))
             which = np.argsort(np.concatenate([k for k, *_ in named]), kind="stable")
             langs, sizes = (np.concatenate([x[i] for x in named])[which] for i in (1, 2))
-            phrases = [p for x in named for p in x[3]]
-            phrases = pa.array([phrases[i] for i in which.tolist()], pa.binary()).cast(pa.string())
-            return _blobs(pa.table([pa.array((keys >> U64(64 - part_bits)).astype(np.int32)), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), phrases, pa.array(counts, pa.int64())], ["part", *COUNTED_NAMES]))
+            phrases = pa.concat_arrays([x[3] for x in named]).take(pa.array(which))
+            return _blobs(pa.table([pa.array((seen >> U64(64 - part_bits)).astype(np.int32)), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), phrases, pa.array(total, pa.int64())], ["part", *COUNTED_NAMES]))
 
         for batch in slices(batches, limit=SLICE_BYTES):
             s = Slice(batch)
@@ -271,15 +279,17 @@ def _count(maps: list, part_bits: int):
                 places = s.possible(size, maps[size - 2].value if size > 1 else None)
                 places = places[marked(maps[size - 1].value, s.hashes[size - 1][places])]
                 keys, first, counts = np.unique(s.hashes[size - 1][places], return_index=True, return_counts=True)
-                held.append((keys, counts))
-                new = ~np.isin(keys, seen, assume_unique=True)
+                at = np.searchsorted(seen, keys)
+                new = np.append(seen, U64(0))[at] != keys
+                new |= at == len(seen)
+                total[at[~new]] += counts[~new]
                 if new.any():
-                    at = places[first[new]]
-                    named.append((keys[new], s.names[s.lang[at]], np.full(len(at), size), s.phrases(at, size)))
-                    seen = np.union1d(seen, keys[new])
+                    seen, total = np.insert(seen, at[new], keys[new]), np.insert(total, at[new], counts[new])
+                    first = places[first[new]]
+                    named.append((keys[new], s.names[s.lang[first]], np.full(len(first), size, np.int8), s.phrases(first, size)))
             if len(seen) > HELD_PHRASES:
                 yield flush()
-                seen, named, held = np.zeros(0, U64), [], []
+                seen, total, named = np.zeros(0, U64), np.zeros(0, np.int64), []
         if named:
             yield flush()
         if words:
