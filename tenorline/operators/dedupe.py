@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -37,7 +37,11 @@ def save_named(saved: DataFrame, incoming: DataFrame, name: str = "name", seq: s
 
 
 def by_name(df: DataFrame, name: str = "name") -> DataFrame:
-    return df.orderBy(F.lower(name), name)
+    return df.orderBy(*name_keys(name))
+
+
+def name_keys(name: str = "name") -> list[str | Column]:
+    return [F.lower(name), name]
 
 
 def _one_per_key(df: DataFrame, keys: list[str], pick, seq: str) -> DataFrame:

@@ -350,17 +350,34 @@ def top_metrics(seed: DataFrame, n: int = 3) -> DataFrame:
 
 # --- order of listings ------------------------------------------------------------------------------------------
 
+# Each order is also given as keys, for ``operators.listing.with_position``.
+
+AVAILABILITY_KEYS = ["pair_key", "section_key", "item_key"]
+
+
+def snapshot_keys() -> list[str | Column]:
+    return ["pair_key", "as_of_month", *_path_order()]
+
+
+def path_keys() -> list[str | Column]:
+    return ["pair_key", "observation_month", *_path_order()]
+
+
+def region_keys(rows: DataFrame) -> list[str]:
+    return ["region", *[name for name in ("market_name",) if name in rows.columns]]
+
+
 def snapshot_order(snapshots: DataFrame) -> DataFrame:
-    return snapshots.orderBy("pair_key", "as_of_month", *_path_order())
+    return snapshots.orderBy(*snapshot_keys())
 
 
 def path_order(paths: DataFrame) -> DataFrame:
-    return paths.orderBy("pair_key", "observation_month", *_path_order())
+    return paths.orderBy(*path_keys())
 
 
 def region_order(rows: DataFrame) -> DataFrame:
     """By region, and within it by market name where there is one."""
-    return rows.orderBy("region", *[name for name in ("market_name",) if name in rows.columns])
+    return rows.orderBy(*region_keys(rows))
 
 
 def tenor_order(snapshots: DataFrame) -> DataFrame:
@@ -368,7 +385,7 @@ def tenor_order(snapshots: DataFrame) -> DataFrame:
 
 
 def availability_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("pair_key", "section_key", "item_key")
+    return rows.orderBy(*AVAILABILITY_KEYS)
 
 
 def pair_rows(rows: DataFrame, pair_key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["series", "policy", "currency", "equity", "returns", "tables", "landing", "refreshes"]
+MODULES = ["series", "policy", "currency", "equity", "returns", "tables", "landing", "refreshes", "listings"]
 
 
 def queries() -> dict:
