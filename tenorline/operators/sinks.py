@@ -15,12 +15,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tenorline.catalog import empty_frame
 from tenorline.operators.dedupe import last_write_wins
 from tenorline.operators.joins import salted_join
-from tenorline.schemas import TABLES, conform
+from tenorline.schemas import ORDERED_STAGING, TABLES, conform
 
 VERSION = "v="
 STAGED = "w="  # version folders of tables by key and of logs, which may follow versions of an older layout
@@ -35,13 +35,19 @@ LOGS, DAY = ("equity_payloads",), "fetch_day"
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], preserve: tuple[str, ...] = (),
-           seq: str | None = None) -> DataFrame:
+           seq: str | None = None, newest: str | None = None) -> DataFrame:
     """Stored rows with the batch's rows replacing those of the same key.
 
+    With ``newest``, a batch row whose value of that column is below the stored row's is left out; where either has none it replaces.
+
     ``preserve`` columns keep their stored value. A batch that may repeat a key names the column ``seq`` that
     orders its writes.
     """
     batch = new if seq is None else last_write_wins(new, keys, seq).drop(seq)
+    if newest is not None:
+        later = existing.select(*keys, F.col(newest).alias("_held")).where(F.col("_held").isNotNull())
+        both = [batch[name] == later[name] for name in keys]
+        batch = batch.join(later, [*both, batch[newest] < later["_held"]], "left_anti")
     kept = existing.join(batch.select(*keys), keys, "left_anti")
     if preserve:
         stored = existing.select(*keys, *[F.col(name).alias(f"_stored_{name}") for name in preserve])
@@ -107,10 +113,14 @@ def upsert_yearly(new: DataFrame, root: str, name: str) -> None:
 
 
 def stage_years(new: DataFrame, root: str, name: str) -> int:
-    """Stage an upsert into a table stored by observation year; gives the manifest to commit."""
-    dated = conform(new, TABLES[name].schema).withColumn(YEAR, F.year("observation_date"))
+    """Stage an upsert into a table stored by observation year; gives the manifest to commit.
+
+    Staging rows keep the order of their fetch (``listed``), and an older fetch does not replace a newer one. Rows without an order always replace.
+    """
+    schema, newest = (ORDERED_STAGING, "listed") if name == STAGING_TABLE else (TABLES[name].schema, None)
+    dated = conform(new, schema).withColumn(YEAR, F.year("observation_date"))
     keys = [*TABLES[name].keys, YEAR]
-    return _stage(dated, f"{root}/{name}", YEAR, lambda old, batch: upsert(old, batch, keys))
+    return _stage(dated, f"{root}/{name}", YEAR, lambda old, batch: upsert(old, batch, keys, newest=newest))
 
 
 def stage_replacement(new: DataFrame, root: str, name: str, keys: list[str]) -> int:
@@ -206,7 +216,7 @@ def _stage(new: DataFrame, path: str, partition: str, merge, kept: dict[str, str
         if touched:
             batch = spark.read.schema(new.schema).parquet(work)
             old = {value: held[value] for value in touched if value in held}
-            state = merge(_read_parts(spark, path, old, partition), batch) if merge and old else batch
+            state = merge(_read_parts(spark, path, old, partition, schema=new.schema), batch) if merge and old else batch
             state.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(f"{path}/{version}")
         commit_manifest(spark, path, number, {**held, **parts}, base)
     finally:
@@ -276,9 +286,10 @@ def _read_json(spark: SparkSession, path: str) -> dict:
         stream.close()
 
 
-def _read_parts(spark: SparkSession, path: str, parts: dict[str, str], partition: str, keep_version: bool = False) -> DataFrame:
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, str], partition: str, keep_version: bool = False, schema: T.StructType | None = None) -> DataFrame:
     folders = [f"{path}/{version}/{partition}={value.partition('@')[0]}" for value, version in sorted(parts.items())]
-    rows = spark.read.option("basePath", path).parquet(*folders)
+    reader = spark.read.option("basePath", path)
+    rows = (reader if schema is None else reader.schema(schema)).parquet(*folders)
     return rows if keep_version else rows.drop(VERSION[:-1], STAGED[:-1])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tenorline.functions.dates import month_number, month_start, period_months, period_start
 from tenorline.functions.numbers import finite, safe_double
-from tenorline.schemas import LANDED, STAGING, conform, conform_staging, require
+from tenorline.schemas import LANDED, ORDERED_STAGING, STAGING, STAGING_DEFAULTS, conform, conform_staging, require
 
 METADATA = ["category", "region", "frequency", "unit", "provider", "source_url"]
 
@@ -17,13 +17,14 @@ IMPUTATION_NOTE = ("Filled using +/- {half_width} ", " median assumption.")
 POSITION_BITS = 30  # a payload is a text of 2 GB at most, so it lists fewer observations
 
 
-def stage_series(landed: DataFrame, on_bad_date: str = "raise", keep_non_finite: bool = False) -> DataFrame:
+def stage_series(landed: DataFrame, on_bad_date: str = "raise", keep_non_finite: bool = False, keep_order: bool = False) -> DataFrame:
     """Typed staging rows, one per series and period; the latest fetch wins, and within it the value listed last.
 
     Values that are no numbers are dropped. A bad date on a numeric row stops the job, or drops the row
     with ``on_bad_date="drop"``. The first aggregate groups by the metadata too, so that it keeps primitive
     buffers and combines before the shuffle, whatever the size of one series. The second takes the winner
-    among the few rows of a period whose payloads tell different metadata.
+    among the few rows of a period whose payloads tell different metadata. ``keep_order`` adds the winner's
+    ``listing_order`` as ``listed``, by which a staging table keeps rows of later fetches.
     """
     require(landed, [name for name in LANDED.names if name != "fetched_at"], "landed observations")
     landed = conform(landed, LANDED)
@@ -38,13 +39,19 @@ def stage_series(landed: DataFrame, on_bad_date: str = "raise", keep_non_finite:
     collapsed = typed.groupBy("series_id", "observation_date", *METADATA).agg(
         F.max_by("numeric_value", F.when(F.col("observation_date").isNotNull(), F.col("listed"))).alias("numeric_value"), F.max("listed").alias("listed"))
     winner = F.max_by(F.struct("numeric_value", *METADATA), F.struct("listed", *METADATA)).alias("row")
-    rows = collapsed.where(F.col("numeric_value").isNotNull()).groupBy("series_id", "observation_date").agg(winner)
-    return conform_staging(rows.select("series_id", "observation_date", "row.*"))
+    rows = collapsed.where(F.col("numeric_value").isNotNull()).groupBy("series_id", "observation_date").agg(winner, F.max("listed").alias("listed"))
+    staged = rows.select("series_id", "observation_date", "row.*", "listed")
+    return conform(staged, ORDERED_STAGING, STAGING_DEFAULTS) if keep_order else conform_staging(staged)
 
 
 def listing_order() -> Column:
     """Order of the observations of a series over its payloads: fetch time in seconds, then the position in the payload."""
-    return F.shiftleft(F.coalesce(F.unix_seconds("fetched_at"), F.lit(0)).cast("bigint"), POSITION_BITS) + F.col("pos")
+    return fetch_order(F.col("fetched_at")) + F.col("pos")
+
+
+def fetch_order(fetched_at: Column) -> Column:
+    """Where the order of what was fetched at a time begins."""
+    return F.shiftleft(F.coalesce(F.unix_seconds(fetched_at), F.lit(0)).cast("bigint"), POSITION_BITS)
 
 
 def raw_rows(landed: DataFrame, fetched_at: Column, on_bad_date: str = "raise") -> DataFrame:

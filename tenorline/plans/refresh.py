@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenorline.catalog import local_frame
 from tenorline.operators import sinks
-from tenorline.operators.staging import fill_gaps, merge_staging, raw_rows, stage_series
+from tenorline.operators.staging import fetch_order, fill_gaps, merge_staging, raw_rows, stage_series
 from tenorline.plans import incremental
 from tenorline.plans.equity import failure_summary, valuation_snapshot
 from tenorline.plans.irp import currency_irp
@@ -120,6 +120,8 @@ def _load_layers(spark: SparkSession, root: str, landed: DataFrame, outcomes: Da
                  run_at: datetime) -> dict[str, int]:
     """Stage metadata, raw and staging rows and checkpoints; of the stored rows only those of the batch's keys are rewritten."""
     at = F.lit(run_at)
+    # Estimates carry no order, so that an observation replaces them whenever it was fetched.
+    observed_at = F.when(~F.col("is_imputed"), fetch_order(at))
     fetched, marks = outcomes.where("ok"), incremental.high_water_marks(landed)
 
     def of(name: str, batch: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def _load_layers(spark: SparkSession, root: str, landed: DataFrame, outcomes: Da
     return {
         "series_metadata": sinks.stage_upsert(incremental.write_metadata(of("series_metadata", fetched), fetched, at), root, "series_metadata"),
         "raw_observations": sinks.stage_years(raw_rows(landed, at), root, "raw_observations"),
-        "staging_observations": sinks.stage_years(changed_rows(prepared, sinks.read_staging(spark, root)), root, "staging_observations"),
+        "staging_observations": sinks.stage_years(changed_rows(prepared, sinks.read_staging(spark, root)).withColumn("listed", observed_at), root, "staging_observations"),
         "series_checkpoints": sinks.stage_upsert(incremental.write_checkpoints(of("series_checkpoints", marks), marks, at), root, "series_checkpoints"),
     }
 

@@ -52,6 +52,8 @@ STAGING = schema_of(
 )
 STAGING_DEFAULTS = {"is_valid": True, "is_imputed": False, "imputation_method": None, "imputation_note": None,
                     "imputation_source_window": None}
+# Stored staging rows also tell the order of their fetch; rows that were estimated, or stored before, have none.
+ORDERED_STAGING = T.StructType([*STAGING.fields, T.StructField("listed", T.LongType())])
 
 RAW_OBSERVATIONS = schema_of("series_id string!", "observation_date date!", "value string!", "fetched_at timestamp!")
 SERIES_METADATA = schema_of(

@@ -1,7 +1,8 @@
 """Landed payload files to the staging table as an available-now stream.
 
-Each micro-batch is an idempotent upsert, which is also the late-data rule: a re-fetched window simply
-overwrites what is stored. No watermark or operator state is kept.
+Each micro-batch is an idempotent upsert, which is also the late-data rule: a re-fetched window overwrites what
+is stored, unless that comes from a later fetch. So the stored rows do not depend on the order of the batches. No
+watermark or operator state is kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def load_available(payloads: DataFrame, series: DataFrame, parse: Callable[[Data
     described = payloads.join(series, "series_id")
 
     def upsert_batch(batch: DataFrame, _: int) -> None:
-        upsert_staging(stage_series(parse(batch)), root)
+        upsert_staging(stage_series(parse(batch), keep_order=True), root)
 
     return (described.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -125,7 +125,7 @@ def streamed_staging(spark, sf_dir):
     files = spark.readStream.schema(a.table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parquet*")
 
     def upsert_batch(batch, _):
-        sinks.upsert_staging(stage_series(landed_items(spark, sf_dir, batch)), root)
+        sinks.upsert_staging(stage_series(landed_items(spark, sf_dir, batch), keep_order=True), root)
 
     files.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", f"{root}/_stream").trigger(availableNow=True).start().awaitTermination()
     return sinks.read_staging(spark, root).select("series_id", "observation_date", "numeric_value")
