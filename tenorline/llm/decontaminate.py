@@ -1,23 +1,27 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are compared in lower case with every run of other characters than letters and digits as one blank. An
-item of m characters leaks into a text if some region of the text is within ``budget(m)`` edits of the whole item. Each
+Texts and items are compared in lower case, as UTF-8 bytes, with every run of other characters than letters, marks and
+digits as one blank; characters of any script are told apart by their Unicode category. An
+item of m bytes leaks into a text if some region of the text is within ``budget(m)`` edits of the whole item. Each
 edit destroys at most q of the item's m - q + 1 q-grams, so such a region shares m - q + 1 - q * budget of them with the
 item, all on diagonals (place in the text minus place in the item) that differ by at most the budget. Shared q-grams are
 counted in overlapping bands of diagonals of twice that width; bands that reach the bound are verified by banded alignment.
 
 The items are taken in blocks of at most ``BLOCK_CHARS`` characters, each a broadcast of bounded size; every text meets
-every block. Within a task a slice of texts is compared at once, so memory is bounded by the slice.
+every block. Within a task a slice of texts is compared at once, and postings are counted ``POSTINGS`` at a time; bands that lie behind
+are verified or dropped before the next ones, so memory is bounded by the slice, the block and that.
 
-Defined cases: a null or empty text leaks nothing; an item that is null or normalizes to fewer than ``Q`` characters has no
-q-gram and never matches; an item longer than a block is a block of its own; items with equal texts all match; equal rows
+Defined cases: a null or empty text leaks nothing; an item that is null or normalizes to nothing never matches; one that
+normalizes to fewer than ``Q`` bytes has no q-gram and leaks where a text holds it whole between blanks; an item longer than a block is a block of its own; items with equal texts all match; equal rows
 are reported each; a null ``doc_id`` or ``item_id`` is reported as null. Other columns are ignored, or carried along by
 ``clean_documents``. Of several regions the one with the fewest edits, then the first, is reported.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ Q = 12
 ERROR_RATE = 0.05
 BLOCK_CHARS = 1 << 20
 SIEVE_BITS = 20
+POSTINGS = 1 << 20
 MATCH = "array<struct<item_id: bigint, edits: int, start: bigint, stop: bigint>>"
 BLANK = 32
 
@@ -40,13 +45,35 @@ def budget(length: int, rate: float = ERROR_RATE) -> int:
     return max(0, min(int(length * rate), (length - Q) // Q))
 
 
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a mark or a digit."""
+    return np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)])
+
+
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a letter, a mark or a digit."""
+    word = (CLASS[data] == WORD) & (data != ord("_"))
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+        code = padded[lead] & (0x7F >> size)
+        for k in (1, 2, 3):
+            code = np.where(size > k, code << 6 | padded[lead + k] & 0x3F, code)
+        other = ~word_characters()[code]
+        for k in range(4):
+            word[lead[other & (size > k)] + k] = False
+    return word
+
+
 def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalized bytes of all texts, where each text begins, and the place of each byte in the lower-case bytes.
 
     Every text is followed by Q blanks, which no item holds, so no q-gram of an item crosses two texts.
     """
     data, at = text_bytes(column)
-    word = (CLASS[data] == WORD) & (data != ord("_"))
+    word = in_words(data)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     keep = word.copy()
     if len(data):
@@ -78,9 +105,12 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, str]]):
         data, begin, _ = normalized(pa.array([t or "" for _, t in rows], pa.large_string()))
         self.ids, self.texts, grams, item, place = [], [], [], [], []
+        self.short: dict[bytes, list[int | None]] = {}
         for (item_id, _), a, b in zip(rows, begin[:-1], begin[1:]):
             text = bytes(data[a:b]).rstrip()
-            if len(text) >= Q:
+            if 0 < len(text) < Q:
+                self.short.setdefault(text, []).append(item_id)
+            elif text:
                 own = qgrams(np.frombuffer(text, np.uint8))
                 grams.append(own)
                 item.append(np.full(len(own), len(self.ids), np.int64))
@@ -116,17 +146,48 @@ class Items:
         if not len(at):
             return none
         many = self.count[slot]
-        posting = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[slot], many)
-        item = self.item[posting]
-        diagonal = np.repeat(at, many) - self.place[posting] + int(self.size.max())
-        band = diagonal // (self.edits[item] + 1)
-        wide = int(band.max()) + 2
-        keys, counts = np.unique(item * wide + band, return_counts=True)
-        following = np.zeros(len(keys), np.int64)
-        following[:-1] = np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
-        enough = counts + following >= self.least[keys // wide]
-        found, band = keys[enough] // wide, keys[enough] % wide
-        return found, band * (self.edits[found] + 1) - int(self.size.max())
+        longest, wide = int(self.size.max()), len(data) + int(self.size.max()) + 2
+        parts = np.searchsorted(np.cumsum(many), np.arange(POSTINGS, int(many.sum()) + POSTINGS, POSTINGS))
+        keys = counts = np.zeros(0, np.int64)
+        found, start = [], 0
+        for stop in np.unique(np.minimum(parts + 1, len(at))):
+            own, places = slot[start:stop], at[start:stop]
+            n = many[start:stop]
+            posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[own], n)
+            item = self.item[posting]
+            diagonal = np.repeat(places, n) - self.place[posting] + longest
+            new, n = np.unique(item * wide + diagonal // (self.edits[item] + 1), return_counts=True)
+            keys, where = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            counts = np.bincount(where, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+            width = self.edits[keys // wide] + 1
+            # later places have diagonals from here on, so this band and the next are complete
+            done = (keys % wide + 2) * width <= places[-1] - self.size[keys // wide] + longest if stop < len(at) else np.ones(len(keys), bool)
+            following = np.zeros(len(keys), np.int64)
+            following[:-1] = np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
+            found.append(keys[done & (counts + following >= self.least[keys // wide])])
+            keys, counts, start = keys[~done], counts[~done], stop
+        keys = np.sort(np.concatenate(found))
+        item = keys // wide
+        return item, keys % wide * (self.edits[item] + 1) - longest
+
+    def short_leaks(self, data: np.ndarray, begin: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
+        """(text, item_id, 0, start, stop) of the first place where a text holds an item without a q-gram whole between blanks."""
+        out = []
+        if not self.short:
+            return out
+        blank = data == BLANK
+        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        for m in sorted({len(t) for t in self.short}):  # fewer than Q lengths; a text is followed by Q blanks
+            at = starts[starts + m < len(data)]
+            at, seen = at[blank[at + m]], set()
+            windows = np.lib.stride_tricks.sliding_window_view(data, m)[at] if len(at) else np.zeros((0, m), np.uint8)
+            texts = np.searchsorted(begin, at, "right") - 1
+            for place, text, window in zip(at.tolist(), texts.tolist(), np.ascontiguousarray(windows).view(f"V{m}").ravel()):
+                key = bytes(window)
+                if key in self.short and (text, key) not in seen:
+                    seen.add((text, key))
+                    out += [(text, item_id, 0, place, place + m) for item_id in self.short[key]]
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]:
@@ -181,16 +242,17 @@ def _find(items: Items, columns: list[str], matches: str):
             column = part.column("text")
             data, begin, source = normalized(column)
             found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            hits = leaks(items, data, begin)
-            if hits:
+            hits, short = leaks(items, data, begin), items.short_leaks(data, begin)
+            if hits or short:
                 low, at = text_bytes(column)
                 letters = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))  # characters before each byte
-            for (text, item), (edits, start, stop) in sorted(hits.items()):
+            named = [(text, items.ids[item], edits, start, stop) for (text, item), (edits, start, stop) in sorted(hits.items())] + short
+            for text, item_id, edits, start, stop in named:
                 a, b = source[start], source[stop - 1] + 1
                 origin = letters[at[text]]
                 while b < at[text + 1] and low[b] & 0xC0 == 0x80:
                     b += 1
-                found[text].append({"item_id": items.ids[item], "edits": edits, "start": int(letters[a] - origin), "stop": int(letters[b] - origin)})
+                found[text].append({"item_id": item_id, "edits": edits, "start": int(letters[a] - origin), "stop": int(letters[b] - origin)})
             earlier = part.column(matches).to_pylist() if matches in part.schema.names else [[]] * part.num_rows
             both = pa.array([[*(x or []), *y] for x, y in zip(earlier, found)], kind)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), both], [*columns, matches])

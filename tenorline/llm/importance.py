@@ -146,8 +146,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, bound: int =
     # order-preserving whole numbers: keys are sums of logs, far below the bounds of this scale
     digits = F.least(F.greatest(F.round(F.col("sample_key") * 1e6).cast("long") + F.lit(1 << 58), F.lit(0)), F.lit((1 << 60) - 1))
     keyed = cut(keyed.withColumn("digits", digits), "weights")
-    scored = keyed.join(F.broadcast(sample), keyed["doc_id"] == F.col("labelled_id")).groupBy("labelled_id", "text_hash").agg(F.first("log_weight").alias("w"), F.first("good").alias("g"))
-    level = best_cut([(r.w, r.g) for r in scored.limit(4 * bound).collect()])
+    scored = keyed.join(F.broadcast(sample), keyed["doc_id"] == F.col("labelled_id")).groupBy("labelled_id").agg(F.min_by("log_weight", "text_hash").alias("w"), F.first("good").alias("g"))
+    level = best_cut([(r.w, r.g) for r in scored.collect()])  # a row per id of the sample: 2 * bound at most
     out = ["doc_id", "text_hash", "log_weight", "sample_key"]
     if level is None:
         return keyed.select(*out, F.lit(True).alias("kept"))

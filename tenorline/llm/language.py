@@ -38,7 +38,12 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+    counts = Counter(WORD.findall(text.lower())) if text else Counter()
+    for word in [w for w in counts if not w.isalpha()]:  # the pattern also takes numbers that are no decimal digits
+        n = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += n
+    return counts
 
 
 def ngrams(word: str, n: int) -> list[str]:

@@ -7,14 +7,16 @@ row groups of ``ROW_GROUP_BYTES`` and small pages with the column and offset ind
 
 Encoding goes through a memory of text pieces. Texts are cut into words, punctuation between words and rests, always at
 places where the tokenizer's own splitting cuts too, so the ids are those of the whole text; pieces that are not
-remembered, and whole texts holding a special token, are given to the tokenizer.
+remembered, and whole texts holding a special token, are given to the tokenizer. A tokenizer that normalizes or splits in
+another way than byte-level vocabularies do gets whole texts only.
 
 Defined cases: a null or empty text has the end id only; a null ``doc_id`` comes first; rows with equal ids are ordered by
-their text, and equal rows lie side by side; other columns are ignored; no rows give an empty table.
+a hash of their text, then by the text, and equal rows lie side by side; other columns are ignored; no rows give an empty table.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -57,6 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        split, model = form["pre_tokenizer"] or {}, form["model"]
+        self.in_pieces = bool(split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and model["type"] == "BPE"
+                              and not any(form[c] for c in ("normalizer", "truncation", "padding")) and not any(model.get(c) for c in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
         self.model = self.tokenizer.model
@@ -71,6 +77,8 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.in_pieces:
+            return self.whole(texts)
         known, old = self.known, self.old
         split = [[t] if self.special.search(t) else _PIECE.findall(t) for t in texts]
         rest = []

@@ -3,14 +3,16 @@
 Reading: a partition per archive file. The WARC headers of each record are parsed first; predicates on ``warc_type`` and on
 the other header columns are pushed down to that point, and the block of a record that fails them is neither inflated nor
 decoded. With the option ``payload`` = ``false`` no block is. Every gzip member carries its lengths in the extra field ``sl``
-that the WARC standard suggests, which lets the reader step over the block; members without it are inflated and thrown away.
+that the WARC standard suggests, which lets the reader step over the block; members without it, or with several records, are inflated and thrown
+away. Header names count in any case.
 
 Writing: rows (record_id, warc_type, target_uri, date, payload, payload_digest, payload_length, refers_to), a file per task,
 one gzip member per record; a file is closed and the next begun at ``FILE_BYTES``. Tasks write under names of their own, and
 the commit moves the files of the tasks that count into place, so tasks that are run twice leave nothing.
 
 Defined cases: a null payload is empty; null header values are not written and read as null; a record that is cut off at the
-end of a file ends that file; unknown headers are kept in ``headers``; columns of the input beyond those named are refused.
+end of a file ends that file; a missing or malformed ``Content-Length`` counts as zero, and bytes that no record claims are
+passed over up to the next line that begins with ``WARC/``; a malformed payload length reads as null; unknown headers are kept in ``headers``; columns of the input beyond those named are refused.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ SCHEMA = f"{WRITTEN}, headers map<string,string>"
 # Names of the WARC headers per column, and texts of the format.
 HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest",
            "payload_length": "X-Payload-Length", "refers_to": "WARC-Refers-To"}
+NAMES = {name.lower(): name for name in (*HEADERS.values(), "Content-Type", "Content-Length")}  # headers are named in any case
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -135,102 +138,137 @@ def records(stream, wanted, payload: bool, packed: bool) -> Iterator[tuple[dict,
     while (head := source.head()) is not None:
         headers = parse_headers(head)
         take = wanted(headers)
-        block = source.block(int(headers.get("Content-Length", 0)), take and payload)
+        block = source.block(whole_number(headers.get("Content-Length")) or 0, take and payload)
         if take:
             yield headers, block
 
 
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
 def parse_headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
-    return {name.strip(): value.strip() for name, mark, value in (line.partition(":") for line in lines[1:]) if mark}
+    named = ((name.strip(), value.strip()) for name, mark, value in (line.partition(":") for line in lines[1:]) if mark)
+    return {NAMES.get(name.lower(), name): value for name, value in named}
 
 
 class _Plain:
+    """Records of a stream of plain bytes; ``plain`` holds what is read but not yet used."""
+
     def __init__(self, stream):
-        self.stream, self.held = stream, b""
+        self.stream, self.plain = stream, b""
+
+    def more(self) -> bool:
+        """Adds bytes to ``plain``; false at the end."""
+        data = self.stream.read(1 << 16)
+        self.plain += data
+        return bool(data)
 
     def head(self) -> bytes | None:
+        """The next header block. Bytes that no record claims are passed over up to a line that begins one."""
         while True:
-            self.held = self.held.lstrip(b"\r\n")
-            if (end := self.held.find(b"\r\n\r\n")) >= 0:
-                head, self.held = self.held[:end], self.held[end + 4:]
+            self.plain = self.plain.lstrip(b"\r\n")
+            if len(self.plain) < 5 or not self.plain.startswith(b"WARC/"):
+                at = self.plain.find(b"\nWARC/")
+                if at >= 0:
+                    self.plain = self.plain[at + 1:]
+                    continue
+                if len(self.plain) >= 5:
+                    self.plain = self.plain[-5:] if b"\n" in self.plain[-5:] else b"x"
+            elif (end := self.plain.find(b"\r\n\r\n")) >= 0:
+                head, self.plain = self.plain[:end], self.plain[end + 4:]
                 return head
-            more = self.stream.read(1 << 16)
-            if not more:
+            if not self.more():
                 return None
-            self.held += more
 
     def block(self, size: int, keep: bool) -> bytes | None:
         if not keep:
-            rest = size - len(self.held)
-            self.held = self.held[size:]
+            rest = size - len(self.plain)
+            self.plain = self.plain[size:]
             if rest > 0:
                 self.stream.seek(self.stream.tell() + rest)
             return None
-        if len(self.held) < size:
-            self.held += self.stream.read(size - len(self.held))
-        block, self.held = self.held[:size], self.held[size:]
-        return block
+        return self.taken(size, True)
+
+    def taken(self, size: int, keep: bool) -> bytes | None:
+        """The next ``size`` bytes, or what the file has of them."""
+        parts = []
+        while size > 0 and (self.plain or self.more()):
+            part, self.plain = self.plain[:size], self.plain[size:]
+            size -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts) if keep else None
 
 
-class _Packed:
-    """A record per gzip member."""
+class _Packed(_Plain):
+    """Gzip members one after another are one stream of records. A member that tells its lengths and holds one record can be stepped over."""
 
     def __init__(self, stream):
-        self.stream, self.held, self.end = stream, b"", None
+        super().__init__(stream)
+        self.held, self.at, self.inflater = b"", 0, None  # packed bytes not yet inflated, their place in the file
+        self.lone = None  # the member that ``plain`` began with: its end in the file, and its plain bytes
 
     def _fill(self, size: int) -> bool:
         while len(self.held) < size:
-            more = self.stream.read(max(1 << 16, size - len(self.held)))
-            if not more:
+            data = self.stream.read(max(1 << 16, size - len(self.held)))
+            if not data:
                 return False
-            self.held += more
+            self.held += data
         return True
 
-    def head(self) -> bytes | None:
-        if not self._fill(18):
-            return None
-        self.end = None  # bytes of this member after its header, if it tells
-        if self.held[3] == 4 and self.held[12:14] == b"sl" and self._fill(24):
-            start = 12 + struct.unpack("<H", self.held[10:12])[0]
-            self.end = start + struct.unpack("<I", self.held[16:20])[0] + 8
-        self.inflater, self.plain, self.fed = zlib.decompressobj(31), b"", 0
-        while b"\r\n\r\n" not in self.plain:
-            if not self._inflate(4096):
-                return None
-        head, _, self.plain = self.plain.partition(b"\r\n\r\n")
-        return head
-
-    def _inflate(self, most: int = 0) -> bool:
-        """More plain data of the member; false at its end or at the end of the file."""
-        if self.inflater.eof:
+    def _member(self) -> bool:
+        self.lone = None
+        if not self._fill(18) or self.held[:2] != b"\x1f\x8b":
             return False
-        data = self.inflater.unconsumed_tail
-        if not data:
-            if not self._fill(self.fed + 1):
-                return False
-            data = self.held[self.fed:self.fed + (1 << 16)]
-            self.fed += len(data)
-        self.plain += self.inflater.decompress(data, most)
+        if self.held[3] == 4 and self.held[12:14] == b"sl" and self._fill(24) and not self.plain:
+            start = 12 + struct.unpack("<H", self.held[10:12])[0]
+            packed, plain = struct.unpack("<II", self.held[16:24])
+            self.lone = self.at + start + packed + 8, plain
+        self.inflater = zlib.decompressobj(31)
         return True
 
+    def more(self, most: int = 4096) -> bool:
+        while True:
+            if self.inflater is None or self.inflater.eof:
+                if not self._member():
+                    return False
+            ended = not self.held and not self._fill(1)
+            data = self.held[:1 << 16]
+            out = self.inflater.decompress(data, most)
+            left = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
+            self.held, self.at = left + self.held[len(data):], self.at + len(data) - len(left)
+            self.plain += out
+            if out or ended:
+                return bool(out)
+
+    def head(self) -> bytes | None:
+        self.plain, self.lone = self.plain.lstrip(b"\r\n"), None
+        head = super().head()
+        self.head_bytes = len(head) + 4 if head is not None else 0
+        return head
+
     def block(self, size: int, keep: bool) -> bytes | None:
-        if not keep and self.end is not None:
-            if len(self.held) >= self.end:
-                self.held = self.held[self.end:]
+        if not keep and self.lone is not None and self.lone[1] == self.head_bytes + size + 4:
+            end, self.plain, self.inflater = self.lone[0], b"", None
+            if end - self.at <= len(self.held):
+                self.held = self.held[end - self.at:]
             else:
-                self.stream.seek(self.stream.tell() + self.end - len(self.held))
+                self.stream.seek(end)
                 self.held = b""
+            self.at = end
             return None
-        parts = [self.plain]
-        self.plain = b""
-        while self._inflate(1 << 20):
+        return self.taken(size, keep)
+
+    def taken(self, size: int, keep: bool) -> bytes | None:
+        parts = []
+        while size > 0 and (self.plain or self.more(1 << 20)):
+            part, self.plain = self.plain[:size], self.plain[size:]
+            size -= len(part)
             if keep:
-                parts.append(self.plain)
-            self.plain = b""
-        used = self.fed - len(self.inflater.unused_data)
-        self.held = self.held[used:]
-        return b"".join(parts)[:size] if keep else None
+                parts.append(part)
+        return b"".join(parts) if keep else None
 
 
 class WarcReader(DataSourceReader):
@@ -272,7 +310,7 @@ class WarcReader(DataSourceReader):
         with files.open_input_file(partition.path) as stream:
             for headers, block in records(stream, self.wanted, self.payload, partition.path.endswith(".gz")):
                 values = {c: headers.get(name) for c, name in HEADERS.items()}
-                values["payload_length"] = int(values["payload_length"]) if values["payload_length"] else None
+                values["payload_length"] = whole_number(values["payload_length"])
                 if block is not None and headers.get("Content-Type", "").startswith("application/http"):
                     block = block.partition(b"\r\n\r\n")[2]
                 known = {*HEADERS.values(), "Content-Length"}

@@ -81,6 +81,29 @@ def test_leaks_equal_full_alignment(texts, tmp_path):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["doc_id"] not in {d for d, _ in got})
 
 
+def test_leaks_behind_typography_and_in_other_scripts(texts, tmp_path):
+    plain = 'the captain said "go on" and then - with a sigh - he left the old harbour behind for good, so "that" was it'
+    others = ["\u0434\u043e\u0436\u0434\u044c \u0438\u0434\u0451\u0442 \u0432\u0435\u0441\u044c \u0434\u0435\u043d\u044c \u0438 \u0440\u0435\u043a\u0430 \u0440\u0430\u0441\u0442\u0451\u0442", "\u4eca\u65e5\u306f\u3068\u3066\u3082\u3044\u3044\u5929\u6c17\u3067\u3059\u306d\u3001\u6563\u6b69\u306b\u884c\u304d\u307e\u3057\u3087\u3046"]
+    items = [{"item_id": 1, "text": plain}] + [{"item_id": 2 + i, "text": t} for i, t in enumerate(others)] + [{"item_id": 9, "text": "What is 2+2?"}, {"item_id": 10, "text": "?!"}]
+    curly = plain.replace(' "', " \u201c").replace('"', "\u201d").replace("-", "\u2014")
+    rows = [{"doc_id": 1, "text": "x. " + curly + " y"}, {"doc_id": 2, "text": plain.replace(" ", "\u00a0")}, {"doc_id": 3, "text": plain.replace(", ", "\u2026 ")}]
+    rows += [{"doc_id": 4, "text": "\u00ab" + others[0].upper() + "\u00bb"}, {"doc_id": 5, "text": "\u300c" + others[1] + "\u300d"}, {"doc_id": 6, "text": "so, what is 2 + 2? four"}, {"doc_id": 7, "text": "somewhat is 2 + 2 ?! and what is 2 + 22"}, {"doc_id": 8, "text": "what is 2 2"}]
+    found = ordered(decontaminate.find_leaks(texts(tmp_path, rows, DOCS, 2), texts(tmp_path, items, BENCH)))
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found} == {(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 2, 0), (5, 3, 0), (6, 9, 0), (8, 9, 0)}
+    one = next(r for r in found if r["doc_id"] == 6)
+    assert rows[5]["text"][one["start"]:one["stop"]] == "what is 2 + 2"
+
+
+def test_many_items_with_one_opening_phrase_stay_in_bounds(monkeypatch):
+    """Postings are counted in pieces; pieces of any size give the same bands."""
+    opening = "question and answer about " * 4
+    items = decontaminate.Items([(i, opening + prose(i, 12)) for i in range(60)])
+    data, _, _ = decontaminate.normalized(pa.array([opening * 20 + prose(3, 12) + " " + opening + prose(4, 12)]))
+    whole = set(zip(*(x.tolist() for x in items.bands(data))))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    assert set(zip(*(x.tolist() for x in items.bands(data)))) == whole and {3, 4} <= {i for i, _ in whole}
+
+
 def test_leaks_of_nothing(texts, tmp_path):
     empty = texts(tmp_path, [], DOCS)
     assert ordered(decontaminate.find_leaks(empty, texts(tmp_path, [{"item_id": 1, "text": prose(1, 20)}], BENCH))) == []
@@ -227,6 +250,16 @@ def test_pieces_give_the_ids_of_the_whole_text():
     assert [t for t, a, b in zip(many, encoder.encode(many), plain) if a != b] == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_the_ids_of_the_whole_text(name):
+    """A vocabulary that normalizes and splits in its own way gets whole texts."""
+    encoder = token_files.Encoder(tokenizer_path().replace("byte_bpe_50k.json", name))
+    assert encoder.in_pieces == (name == "byte_bpe_50k.json")
+    many = [prose(i, 30) + "\n\n\u00c9t\u00e9 It's 12 a.m., <|endoftext|>\tCAF\u00c9!\nb" for i in range(20)] + [""]
+    plain = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(many, add_special_tokens=False)]
+    assert encoder.encode(many) == plain
+
+
 def test_no_tokens(texts, tmp_path):
     assert ordered(token_files.encode_and_read(texts(tmp_path, [], DOCS), tokenizer_path())) == []
 

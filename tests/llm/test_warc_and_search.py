@@ -80,6 +80,25 @@ def test_other_archives_are_read(tmp_path, spark):
     assert warc.read_warc(spark, str(tmp_path)).where("warc_type = 'metadata'").select("headers").first().headers == {"X-Other": "1:2"}
 
 
+def test_members_of_several_records_and_odd_headers(tmp_path, spark):
+    """A whole file in one gzip member, records over several members, names in lower case, lengths that are no numbers."""
+    def one(name: bytes, body: bytes, length: bytes | None = None, head: bytes = b"WARC-Record-ID") -> bytes:
+        return b"WARC/1.0\r\n" + head + b": <" + name + b">\r\nwarc-type: resource\r\ncontent-length: " + (length if length is not None else b"%d" % len(body)) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    large = bytes(range(256)) * 4000
+    three = one(b"1", b"a" * 10) + one(b"2", large, head=b"warc-record-id") + one(b"3", b"")
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(three))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(three[:300]) + gzip.compress(three[300:]))
+    (tmp_path / "lengths.warc.gz").write_bytes(warc.gzip_member(three) + warc.gzip_member(one(b"4", b"d")))
+    (tmp_path / "bad.warc").write_bytes(one(b"5", b"what is\r\n\r\nthis", b"many") + one(b"6", b"f", b"-1") + one(b"7", b"g"))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    want = Counter({("<1>", b"a" * 10): 3, ("<2>", large): 3, ("<3>", b""): 3, ("<4>", b"d"): 1, ("<5>", b""): 1, ("<6>", b""): 1, ("<7>", b"g"): 1})
+    assert Counter((r.record_id, bytes(r.payload)) for r in rows) == want and all(r.warc_type == "resource" for r in rows)
+    skipped = warc.read_warc(spark, str(tmp_path), payload=False)
+    assert Counter(r.record_id for r in skipped.collect()) == Counter(i for i, _ in want.elements())
+    assert {r.record_id for r in warc.read_warc(spark, str(tmp_path)).where("record_id = '<4>'").collect()} == {"<4>"}
+
+
 def test_large_outputs_are_rolled(texts, tmp_path, spark):
     path = str(tmp_path / "rolled")
     docs = warc.page_records(texts(tmp_path, [{"page_id": i, "html": str(i) * 3000} for i in range(30)], PAGES))
