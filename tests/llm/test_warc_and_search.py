@@ -125,7 +125,6 @@ def test_search_equals_all_products(texts, tmp_path, monkeypatch, shard_rows):
     monkeypatch.setattr(kdtree, "LEAF_ROWS", 16)
     monkeypatch.setattr(kdtree, "QUERY_BLOCK", 3)
     monkeypatch.setattr(kdtree.build_index, "__defaults__", (shard_rows,))
-    monkeypatch.setattr(kdtree.leaves, "__defaults__", (16,))
     rng = np.random.default_rng(4)
     rows = [{"vec_id": i, "embedding": rng.normal(size=8).tolist()} for i in range(700)]
     rows += [{"vec_id": 1000 + i, "embedding": [1.5] * 8} for i in range(300)] + [{"vec_id": 2000 + i, "embedding": rng.normal(size=3).tolist()} for i in range(5)]
@@ -135,5 +134,17 @@ def test_search_equals_all_products(texts, tmp_path, monkeypatch, shard_rows):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == plain_top(rows)
 
 
+@pytest.mark.parametrize("dim", [2, 300])
+def test_large_components_and_many_dimensions(texts, tmp_path, monkeypatch, dim):
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(dim)
+    rows = [{"vec_id": 50 + i, "embedding": (rng.normal(size=dim) * 10.0 ** (i % 5)).tolist()} for i in range(150)]
+    rows += [{"vec_id": 1, "embedding": [300000.0] + [1.0] * (dim - 1)}, {"vec_id": 2, "embedding": [1.0] * dim}, {"vec_id": 400, "embedding": [400000.0] + [1.0] * (dim - 1)}, {"vec_id": 500, "embedding": [-1e6] * dim}, {"vec_id": 3, "embedding": [1e9] + [0.0] * (dim - 1)}, {"vec_id": 600, "embedding": [0.0] * dim}]
+    huge = {"vec_id": 4, "embedding": [1e12] + [2.0] * (dim - 1)}, {"vec_id": 700, "embedding": [1e9] * dim}
+    found = kdtree.top_k(texts(tmp_path, rows + list(huge), VECTORS, 3), F.col("vec_id") % 100 == 0)
+    want = [(q, rank, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, rank, i, s in plain_top(rows + list(huge))]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == want
+
+
 def test_no_vectors(texts, tmp_path):
     assert ordered(kdtree.top_k(texts(tmp_path, [], VECTORS), F.col("vec_id") % 100 == 0)) == []
