@@ -11,12 +11,15 @@ from tenorline.functions.numbers import percent_change, py_round
 
 
 def latest(staging: DataFrame) -> DataFrame:
-    """Latest valid row of every series, in one combining aggregate."""
+    """Latest valid row of every series, in one combining aggregate.
+
+    Each column has an aggregate of its own, so those that nobody reads are pruned, and numbers and dates alone are
+    combined in a hash table without any sort.
+    """
     fields = ["observation_date", "numeric_value", "unit", "frequency", "region", "provider", "source_url"]
     return (
         staging.where("is_valid").groupBy("series_id")
-        .agg(F.max_by(F.struct(*fields), "observation_date").alias("row"))
-        .select("series_id", *[F.col(f"row.{name}").alias(name) for name in fields])
+        .agg(*[F.max_by(name, "observation_date").alias(name) for name in fields])
     )
 
 

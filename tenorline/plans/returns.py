@@ -55,8 +55,9 @@ def normalise_states(analyses: DataFrame, state: str = "state_json") -> DataFram
 
     Missing fields take defaults, renamed fields are read from their old place, histories are padded to five.
     """
-    s = analyses.withColumn("s", F.from_json(state, STATE_SCHEMA)).where(
-        (F.col("name") != "") & F.col("s").isNotNull() & F.col(state).rlike(r"^\s*\{"))
+    named = analyses.where((F.col("name") != "") & F.col(state).rlike(r"^\s*\{"))
+    # a generated column is parsed once; a plain one would be parsed by the filter and again by the projection
+    s = named.select("*", F.explode(F.array(F.from_json(state, STATE_SCHEMA))).alias("s")).where("s IS NOT NULL")
 
     def text(*paths: str, default: str = "") -> Column:
         return F.coalesce(*[F.col(f"s.{path}") for path in paths], F.lit(default))

@@ -13,7 +13,7 @@ import pytest
 
 from conftest import TESTDATA
 from tenorline.operators.staging import fill_gaps, stage_series
-from tenorline.plans import ppp
+from tenorline.plans import ppp, returns
 from tenorline import workload
 from tenorline.schemas import LANDED, STAGING
 
@@ -107,3 +107,19 @@ def test_scans_read_only_what_they_need(spark):
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.count() == 10 and "implied_rate" in df.columns
+
+
+def executed_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_rows_are_combined_without_a_sort(spark):
+    plan = executed_plan(QUERIES["latest_per_series"](spark, SF))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_saved_states_are_parsed_once(spark):
+    rows = spark.createDataFrame([("a", '{"model": "gordon"}'), ("b", "[]"), ("", "{}")], "name string, state_json string")
+    states = returns.normalise_states(rows)
+    assert executed_plan(states).count("from_json") == 1
+    assert [(r.name, r.model) for r in states.select("name", "model").collect()] == [("a", "gordon")]
