@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tenorline.functions.dates import month_number, month_start, period_months, period_start
 from tenorline.functions.numbers import finite, safe_double
+from tenorline.operators.parts import dealt
 from tenorline.schemas import LANDED, ORDERED_STAGING, STAGING, STAGING_DEFAULTS, conform, conform_staging, require
 
 METADATA = ["category", "region", "frequency", "unit", "provider", "source_url"]
@@ -92,7 +93,7 @@ def fill_gaps(staging: DataFrame, half_width: int = 6) -> DataFrame:
     exploded in place, and the median is a range frame over the period index. A series holds at most one
     row per date, so its partition is bounded by the calendar, not by the volume of raw data.
     """
-    rows = conform_staging(staging)
+    rows = dealt(conform_staging(staging), "series_id")
     by_date = W.partitionBy("series_id").orderBy("observation_date")
     first = {name: F.first(name).over(by_date) for name in METADATA}
     month = month_number(F.col("observation_date"))
