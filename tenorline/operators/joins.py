@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenorline.operators.parts import dealt
+
 # Rows of one key that a single task should take at most.
-HOT_ROWS = 2_000_000
+HOT_ROWS = 250_000
 
 
 def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -23,4 +25,5 @@ def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "
     salted = rows.join(parts, keys, "left").withColumn("_salt", salt).drop("_parts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))
     copied = other.join(parts, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
-    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+    # Only the small side is dealt: if both sides are shuffled their number of tasks stays, and if it is broadcast ``rows`` need not move.
+    return salted.join(dealt(copied, *keys, "_salt"), [*keys, "_salt"], how).drop("_salt")

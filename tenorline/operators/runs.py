@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tenorline.functions.dates import month_number, month_start
+from tenorline.operators.parts import dealt
 
 # Lengths of the rolling anchor windows, in years, and the code of the longest run.
 WINDOW_YEARS = [3, 5, 10, 20]
@@ -44,7 +45,7 @@ def with_anchors(monthly: DataFrame, key: str = "pair_key") -> DataFrame:
     by_month = W.partitionBy(key).orderBy("month_no")
     whole = W.partitionBy(key)
     breaks = F.when(F.coalesce(F.col("month_no") != F.lag("month_no").over(by_month) + 1, F.lit(True)), F.col("month_no"))
-    marked = monthly.withColumn("run_break", breaks)
+    marked = dealt(monthly, key).withColumn("run_break", breaks)
     counted = marked.select(
         "*",
         (F.col("month_no") - F.max("run_break").over(by_month.rowsBetween(W.unboundedPreceding, 0)) + 1).alias("run_length"),

@@ -149,9 +149,14 @@ def fill_gaps(staging: DataFrame, half_width: int = 6) -> DataFrame:
 
 
 def valid_rows(staging: DataFrame, series: DataFrame | None = None) -> DataFrame:
-    """Valid rows, of all series or only of those listed in ``series``."""
+    """Valid rows, of all series or only of those listed in ``series``; the latter dealt by series."""
     rows = staging.where("is_valid")
-    return rows if series is None else rows.join(series.select("series_id").distinct(), "series_id", "left_semi")
+    if series is None:
+        return rows
+    # The list grows with the configuration and its size is underestimated where it is turned long, so it is not broadcast.
+    # It is dealt before its duplicates go; the join, and what follows by series, keeps that number of tasks.
+    listed = dealt(series.select("series_id"), "series_id").distinct().hint("merge")
+    return dealt(rows.join(listed, "series_id", "left_semi"), "series_id")
 
 
 def units_per_series(staging: DataFrame) -> DataFrame:

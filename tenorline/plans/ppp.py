@@ -16,6 +16,7 @@ from tenorline.functions.dates import month_number, month_start
 from tenorline.functions.numbers import percent_change, py_round
 from tenorline.operators.dedupe import last_write_wins
 from tenorline.operators.joins import salted_join
+from tenorline.operators.parts import dealt
 from tenorline.operators.runs import with_anchors
 from tenorline.operators.staging import valid_rows
 from tenorline.schemas import AVAILABILITY, PPP_PATHS, PPP_SNAPSHOTS, TABLES, conform
@@ -58,7 +59,7 @@ def monthly_inputs(staging: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     chosen = F.when(F.col("role") == "spot", F.struct("last.numeric_value", "last.source_url", "last.note")).otherwise(F.col("first"))
     by_pair = (
-        salted_join(roles, monthly, ["series_id"]).withColumn("row", chosen).where(F.col("row").isNotNull())
+        dealt(salted_join(roles, monthly, ["series_id"]).withColumn("row", chosen).where(F.col("row").isNotNull()), "pair_key")
         .groupBy("pair_key", "month_no")
         .agg(*[F.first(F.when(F.col("role") == role, F.col("row")), ignorenulls=True).alias(role)
                for role in ("spot", "home", "foreign")])

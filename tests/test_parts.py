@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import months
+from tenorline.operators.joins import salted_join
 from tenorline.operators.parts import dealt
-from tenorline.operators.staging import fill_gaps
+from tenorline.operators.runs import with_anchors
+from tenorline.operators.staging import fill_gaps, valid_rows
+from tenorline.plans import ppp
 
 
 def tasks(df) -> int:
@@ -30,3 +33,29 @@ def test_dealt_rows_are_moved_once(spark):
 
 def test_gaps_are_filled_in_all_tasks(many_series):
     assert tasks(fill_gaps(many_series)) == 4
+
+
+def test_listed_series_are_not_broadcast(many_series):
+    rows = valid_rows(many_series, many_series.select("series_id").where("series_id <> 's7'"))
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert tasks(rows) == 4 and {r["series_id"] for r in rows.collect()} == {f"s{i}" for i in range(40) if i != 7}
+
+
+def test_shuffled_joins_keep_their_tasks(spark):
+    left, right = spark.range(400).selectExpr("id % 40 AS k", "id"), spark.range(40).selectExpr("id AS k", "id * 2 AS twice")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(left, right, ["k"])
+        assert tasks(joined) == 4 and joined.where("twice = 2 * k").count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parity_months_stay_in_all_tasks(spark, staging, many_series):
+    pairs = spark.createDataFrame([(f"p{i}", f"s{i}", f"s{(i + 1) % 40}", f"s{(i + 2) % 40}") for i in range(40)], "pair_key string, spot_series string, home_series string, foreign_series string")
+    monthly = ppp.monthly_inputs(many_series, pairs)
+    assert tasks(monthly) == 4 and monthly.count() == 40 * 36 - sum(len({i % 30, (i + 1) % 40 % 30, (i + 2) % 40 % 30}) for i in range(40))
+    stored = spark.createDataFrame(monthly.collect(), monthly.schema)
+    assert tasks(with_anchors(stored)) == 4
+    paths = ppp.currency_ppp(many_series, pairs, pk_compat=True).paths
+    assert tasks(paths) == 4
