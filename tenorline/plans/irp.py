@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenorline.functions.numbers import py_round
 from tenorline.operators.joins import salted_join
+from tenorline.operators.parts import dealt
 from tenorline.operators.series import latest
 from tenorline.operators.staging import valid_rows
 from tenorline.schemas import AVAILABILITY, IRP_SNAPSHOTS, conform
@@ -35,7 +36,7 @@ def tenor_inputs(staging: DataFrame, tenors: DataFrame) -> DataFrame:
         F.struct(F.lit(role).alias("role"), F.col(f"{role}_series").alias("series_id")) for role in ROLES])))
     rows = salted_join(by_role, latest(valid_rows(staging, by_role)), ["series_id"], "left").withColumn(
         "row", F.struct("series_id", "numeric_value", "observation_date", "source_url"))
-    return rows.groupBy("pair_key", "tenor", "tenor_fraction").agg(*[
+    return dealt(rows, "pair_key", "tenor").groupBy("pair_key", "tenor", "tenor_fraction").agg(*[
         F.first(F.when(F.col("role") == role, F.col("row")), ignorenulls=True).alias(role) for role in ROLES])
 
 

@@ -12,7 +12,7 @@ from tenorline.operators.joins import salted_join
 from tenorline.operators.parts import dealt
 from tenorline.operators.runs import with_anchors
 from tenorline.operators.staging import fill_gaps, valid_rows
-from tenorline.plans import ppp
+from tenorline.plans import irp, ppp
 
 
 def tasks(df) -> int:
@@ -59,3 +59,9 @@ def test_parity_months_stay_in_all_tasks(spark, staging, many_series):
     assert tasks(with_anchors(stored)) == 4
     paths = ppp.currency_ppp(many_series, pairs, pk_compat=True).paths
     assert tasks(paths) == 4
+
+
+def test_tenor_inputs_stay_in_all_tasks(spark, many_series):
+    tenors = spark.createDataFrame([(f"p{i}", "3M", 0.25, f"s{i}", f"s{(i + 1) % 40}", "s0") for i in range(40)], "pair_key string, tenor string, tenor_fraction double, spot_series string, base_series string, quote_series string")
+    inputs = irp.tenor_inputs(many_series, tenors)
+    assert tasks(inputs) == 4 and inputs.where("quote.series_id = 's0' AND base.numeric_value IS NOT NULL").count() == 40
