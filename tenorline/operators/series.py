@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tenorline.functions.numbers import percent_change, py_round
+from tenorline.operators.parts import dealt
 
 
 def latest(staging: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def with_rates(staging: DataFrame) -> DataFrame:
     by_date = "PARTITION BY series_id ORDER BY observation_date"
     year_ago = f"max(numeric_value) OVER ({by_date} RANGE BETWEEN INTERVAL 1 YEAR PRECEDING AND INTERVAL 1 YEAR PRECEDING)"
     previous = f"lag(numeric_value) OVER ({by_date})"
-    framed = staging.where("is_valid").select(
+    framed = dealt(staging.where("is_valid"), "series_id").select(
         "series_id", "observation_date", "numeric_value", "unit", "source_url",
         F.expr(year_ago).alias("year_ago_value"), F.expr(previous).alias("previous_value"))
     quarter_ratio = F.try_divide(F.col("numeric_value"), F.col("previous_value"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenorline.functions.numbers import py_round
 from tenorline.operators.joins import salted_join
+from tenorline.operators.parts import dealt
 from tenorline.operators.series import series_facts
 from tenorline.operators.staging import valid_rows
 from tenorline.schemas import REFERENCE_METRICS, TAYLOR, conform
@@ -46,7 +47,7 @@ def region_facts(staging: DataFrame, roles: DataFrame) -> DataFrame:
     facts = series_facts(valid_rows(staging, roles))
     matched = salted_join(roles, facts, ["series_id"], "left").withColumn("fact", F.struct(
         "series_id", "less_headline", *[name for name in facts.columns if name != "series_id"]))
-    return matched.groupBy("region").agg(*[
+    return dealt(matched, "region").groupBy("region").agg(*[
         F.first(F.when(F.col("role") == role, F.col("fact")), ignorenulls=True).alias(role) for role in ROLES])
 
 

@@ -11,8 +11,9 @@ from conftest import months
 from tenorline.operators.joins import salted_join
 from tenorline.operators.parts import dealt
 from tenorline.operators.runs import with_anchors
+from tenorline.operators.series import growth_summary, yoy
 from tenorline.operators.staging import fill_gaps, valid_rows
-from tenorline.plans import irp, ppp
+from tenorline.plans import irp, macro, ppp
 
 
 def tasks(df) -> int:
@@ -65,3 +66,13 @@ def test_tenor_inputs_stay_in_all_tasks(spark, many_series):
     tenors = spark.createDataFrame([(f"p{i}", "3M", 0.25, f"s{i}", f"s{(i + 1) % 40}", "s0") for i in range(40)], "pair_key string, tenor string, tenor_fraction double, spot_series string, base_series string, quote_series string")
     inputs = irp.tenor_inputs(many_series, tenors)
     assert tasks(inputs) == 4 and inputs.where("quote.series_id = 's0' AND base.numeric_value IS NOT NULL").count() == 40
+
+
+def test_rates_stay_in_all_tasks(many_series):
+    assert tasks(yoy(many_series)) == 4 and tasks(growth_summary(many_series)) == 4
+
+
+def test_region_facts_stay_in_all_tasks(spark, many_series):
+    roles = spark.createDataFrame([(f"r{i}", role, f"s{(i + n) % 40}", False) for i in range(40) for n, role in enumerate(macro.ROLES)], "region string, role string, series_id string, less_headline boolean")
+    facts = macro.region_facts(many_series, roles)
+    assert tasks(facts) == 4 and facts.where("policy.latest_value IS NOT NULL AND gdp.yoy_current IS NOT NULL").count() == 40
